@@ -126,3 +126,18 @@ o AS (SELECT *, sum(size) OVER (ORDER BY ending / weight::DOUBLE, source NULLS L
 SELECT doc_id, size, source_size, target, CAST(sum(CASE WHEN total <= 1.5 * (SELECT sum(size) FROM d) THEN size ELSE 0 END) AS BIGINT) AS taken
 FROM o GROUP BY doc_id, size, source_size, target, source, first_end
 """
+
+
+def taken_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The documents as often as the mix takes them, columns as they came.
+
+    Of several rows with one id the mix's decisions are joined by id, source and
+    size; ids are best unique.
+    """
+    plan = mix(docs, key, text, source).where("taken > 0").select(
+        F.col(key).alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.expr("cast(taken div size as int)").alias("_times")
+    )
+    plan = plan.groupBy("_id", "_source", "_size").agg(F.max("_times").alias("_times"))
+    counted = docs.withColumn("_words", word_count(text))
+    kept = counted.join(plan, F.col(key).eqNullSafe(F.col("_id")) & F.col(source).eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size")))
+    return kept.withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)

@@ -105,6 +105,9 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The documents whose id is the smallest of their near-duplicate class; all columns as they came."""
-    kept = near_duplicates(docs, key).where(F.col(key).eqNullSafe(F.col("component_id"))).select(key).distinct()
-    return docs.join(kept, key, "left_semi")
+    """The documents whose id is the smallest of their near-duplicate class; all columns as they came.
+
+    A document without an id can't be told apart from its class by it and stays.
+    """
+    kept = near_duplicates(docs, key).where(F.col(key).isNull() | (F.col(key) == F.col("component_id"))).select(key).distinct()
+    return docs.join(kept, docs[key].eqNullSafe(kept[key]), "left_semi")
