@@ -80,7 +80,8 @@ def links(fps: DataFrame) -> DataFrame:
     # The ring turned so that the chain starts at bit 0.
     ring = F.expr("shiftrightunsigned(u ^ v, 16 * cast(shiftright(k, 32) as int)) | shiftleft(u ^ v, (64 - 16 * cast(shiftright(k, 32) as int)) % 64)")
     chain3 = F.bit_count(ring.bitwiseAND(F.lit((1 << (3 * WIDTH)) - 1)))
-    pairs = left.join(right, "k").where((F.col("u") < F.col("v")) & (chain3 <= BUDGET[2]) & (F.bit_count(apart) <= BUDGET[3]))
+    # A merge join: the sizes before the explosion would have either side broadcast.
+    pairs = left.join(right.hint("merge"), "k").where((F.col("u") < F.col("v")) & (chain3 <= BUDGET[2]) & (F.bit_count(apart) <= BUDGET[3]))
     return pairs.select("u", "v")
 
 
