@@ -102,6 +102,7 @@ def scan_secrets(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES,
     n = 4 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     texts = body.repartition(n, "doc_id").join(reps.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("rep")) & (blob == F.col("wanted")))
     fresh = texts.select(F.col("wanted").alias("blob"), F.col("pending").alias("rules"), scan_text(F.col("text"), F.col("pending"), rules).alias("spans"))
+    fresh = fresh.dropDuplicates(["blob"])  # a row that occurs twice is its own representative twice
     fresh.write.mode("append").parquet(ledger)
     current = [r.name for r in rules]
     kinds = [r.kind for r in rules]
