@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -116,7 +117,7 @@ def chunk_hashes(docs: DataFrame) -> DataFrame:
 
 
 def encode_shared(owned: DataFrame, path: str) -> DataFrame:
-    """``(chunk, ids)`` for the chunks listed in ``wanted`` of each row of ``owned`` (text, wanted); ids as 32-bit integers."""
+    """``(chunk, ids)`` for the chunks listed in ``wanted`` of each row of ``owned`` (text, wanted); ids as 32-bit integers, compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -130,7 +131,8 @@ def encode_shared(owned: DataFrame, path: str) -> DataFrame:
                     found[name] = data[a:b]
             inside = [c[slice(*_inside(c))] for c in found.values()]
             ids, at = encoder(path).encode(b"".join(inside), np.cumsum([0, *map(len, inside)]).tolist())
-            raw = [ids[a:b].astype("<i4").tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+            pack = zstandard.ZstdCompressor(level=1)
+            raw = [pack.compress(ids[a:b].astype("<i4").tobytes()) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(raw, pa.binary())], names=["chunk", "ids"])
 
     return owned.select("text", "wanted").mapInArrow(run, "chunk binary, ids binary")
@@ -176,7 +178,7 @@ def assemble(rows: DataFrame, path: str, decode: bool = True) -> DataFrame:
     """``doc_id``, ``ids`` and ``decoded`` of ``rows`` (doc_id, text, shared: array of (chunk, ids))."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = encoder(path)
+        tool, unpack = encoder(path), zstandard.ZstdDecompressor()
         for batch in slices(batches, "text", 4 << 20):
             data, starts = text_bytes(batch.column(1))
             held = [{x["chunk"]: x["ids"] for x in row or ()} for row in batch.column(2).to_pylist()]
@@ -218,7 +220,7 @@ def assemble(rows: DataFrame, path: str, decode: bool = True) -> DataFrame:
                 for steps in plan:
                     n = 0
                     for kind, x in steps:
-                        part = ids[at[x] : at[x + 1]] if kind == 0 else np.array(joined[x], dtype=np.int32) if kind == 1 else np.frombuffer(x, dtype="<i4")
+                        part = ids[at[x] : at[x + 1]] if kind == 0 else np.array(joined[x], dtype=np.int32) if kind == 1 else np.frombuffer(unpack.decompress(x), dtype="<i4")
                         pieces.append(part)
                         n += len(part)
                     counts.append(n)
