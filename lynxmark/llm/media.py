@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from . import webp
 from .runtime import slices, text_bytes
 
-STEP = 12 << 20
+STEP = 6 << 20
 GRID = 8
 
 
