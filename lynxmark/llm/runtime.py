@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one step of a Python operator holds at once.
 STEP_BYTES = 8 << 20
+#: Frees an action's shuffle files when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,10 +42,17 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table of the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs no more than the tasks it ran.
+    The exchanges of the write have served once it is done; their files go then,
+    not when the driver next collects garbage.
     """
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
