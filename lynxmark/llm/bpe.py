@@ -47,6 +47,11 @@ def token_strings(path: str) -> pa.Array:
     return pa.array([tokenizer.id_to_token(i) for i in range(tokenizer.get_vocab_size(with_added_tokens=True))], pa.large_string())
 
 
+def id_type(path: str) -> str:
+    """The narrowest little-endian type that holds all ids of the vocabulary."""
+    return "<u2" if encoder(path).tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
+
+
 def _gear() -> np.ndarray:
     return np.array([xxhash.xxh32_intdigest(bytes([b]), 7) for b in range(256)], dtype=np.uint32)
 
@@ -117,7 +122,7 @@ def chunk_hashes(docs: DataFrame) -> DataFrame:
 
 
 def encode_shared(owned: DataFrame, path: str) -> DataFrame:
-    """``(chunk, ids)`` for the chunks listed in ``wanted`` of each row of ``owned`` (text, wanted); ids as 32-bit integers, compressed."""
+    """``(chunk, ids)`` for the chunks listed in ``wanted`` of each row of ``owned`` (text, wanted); ids as ``id_type``, compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -131,8 +136,8 @@ def encode_shared(owned: DataFrame, path: str) -> DataFrame:
                     found[name] = data[a:b]
             inside = [c[slice(*_inside(c))] for c in found.values()]
             ids, at = encoder(path).encode(b"".join(inside), np.cumsum([0, *map(len, inside)]).tolist())
-            pack = zstandard.ZstdCompressor(level=1)
-            raw = [pack.compress(ids[a:b].astype("<i4").tobytes()) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+            pack, narrow = zstandard.ZstdCompressor(level=9), ids.astype(id_type(path))
+            raw = [pack.compress(narrow[a:b].tobytes()) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(raw, pa.binary())], names=["chunk", "ids"])
 
     return owned.select("text", "wanted").mapInArrow(run, "chunk binary, ids binary")
@@ -220,7 +225,7 @@ def assemble(rows: DataFrame, path: str, decode: bool = True) -> DataFrame:
                 for steps in plan:
                     n = 0
                     for kind, x in steps:
-                        part = ids[at[x] : at[x + 1]] if kind == 0 else np.array(joined[x], dtype=np.int32) if kind == 1 else np.frombuffer(unpack.decompress(x), dtype="<i4")
+                        part = ids[at[x] : at[x + 1]] if kind == 0 else np.array(joined[x], dtype=np.int32) if kind == 1 else np.frombuffer(unpack.decompress(x), dtype=id_type(path)).astype(np.int32)
                         pieces.append(part)
                         n += len(part)
                     counts.append(n)
