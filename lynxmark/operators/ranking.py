@@ -55,6 +55,29 @@ def with_midrank(df: DataFrame, score: str, name: str = "midrank") -> DataFrame:
     return df.join(ranked, df[score].eqNullSafe(ranked["_score"])).drop("_score")
 
 
+def whole_quantiles(df: DataFrame, value: str, shares: tuple[float, ...]) -> DataFrame:
+    """One row: ``n`` and the exact linear quantiles ``q0``, ``q1``, ... of all values that are not null.
+
+    Equal values are one row with their count, so a frequent value is no hot spot.
+    """
+    per = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_equal"))
+    parted = _parted(per, value)
+    parts = parted.groupBy("_part").agg(F.sum("_equal").alias("_n"))
+    bases = parts.select(
+        F.col("_part").alias("_of"),
+        F.coalesce(F.sum("_n").over(Window.orderBy(F.col("_part").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"),
+        F.sum("_n").over(Window.partitionBy()).alias("_all"),
+    )
+    before = Window.partitionBy("_part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    placed = parted.withColumn("_below", F.coalesce(F.sum("_equal").over(before), F.lit(0))).join(F.broadcast(bases), F.col("_part") == F.col("_of"))
+    start = F.col("_base") + F.col("_below")
+    at = lambda place: F.max(F.when((start <= place) & (place < start + F.col("_equal")), F.col(value)))
+    spots = [(F.col("_all") - 1) * share for share in shares]
+    found = placed.agg(F.max("_all").alias("_all"), *(at(edge(spot)).alias(f"_{name}{i}") for i, spot in enumerate(spots) for name, edge in (("low", F.floor), ("high", F.ceil))))
+    part = [spot - F.floor(spot) for spot in spots]
+    return found.select(F.coalesce("_all", F.lit(0)).alias("n"), *((F.col(f"_low{i}") + (F.col(f"_high{i}") - F.col(f"_low{i}")) * p).alias(f"q{i}") for i, p in enumerate(part)))
+
+
 def latest_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The last row of each key; one row is kept while rows of a key are gathered, so a hot key costs no more."""
     names = [c for c in df.columns if c not in keys]
