@@ -68,7 +68,12 @@ def write_token_files(docs: DataFrame, path: str, folder: str, end_id: int | Non
     spark = docs.sparkSession
     width = "u4" if encoder(path).tokenizer.get_vocab_size() > 65536 else "u2"
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    sample = rows.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(SAMPLE).collect()
+    # Two hashes choose the sample; only its texts come here, not each task's first rows.
+    keyed = rows.withColumns({"_id": F.xxhash64("doc_id"), "_text": F.xxhash64("text")})
+    chosen = [(r[0], r[1]) for r in keyed.select("_id", "_text").distinct().orderBy("_id", "_text").limit(SAMPLE).collect()]
+    held = keyed.where(F.col("_id").isin([a for a, _ in chosen]) & F.col("_text").isin([b for _, b in chosen])).dropDuplicates(["_id", "_text"]).collect()
+    at = {(r["_id"], r["_text"]): r for r in held}
+    sample = [at[k] for k in chosen]
     taught = []
     for row in sample:
         data = (row.text or "").encode()
