@@ -8,6 +8,12 @@ segment i+1 with at most one bit changed (17 variants on one side, one on the
 other), so that a key holds 32 bits and the number of candidates grows with
 N**2 / 2**32 only.  The join's rows then pass the third link's budget and the
 full Hamming check.  Equal fingerprints are one node from the start.
+
+``similar_classes`` asks for more than 3 bits hold: pairs whose sets of
+shingles have a Jaccard similarity of 0.8 or more lie up to about 20 bits apart,
+too far for chains.  There, min-wise keys over the same shingle hashes find the
+candidates, the distance of the fingerprints drops some, and the texts of the
+rest are compared exactly.
 """
 
 from __future__ import annotations
@@ -27,6 +33,13 @@ BITS, SEGMENTS, WIDTH, RADIUS, SEED = 64, 4, 16, 3, 42
 #: Budget of a chain of 1, 2, 3 and 4 segments.
 BUDGET = [RADIUS * length // SEGMENTS for length in range(1, SEGMENTS + 1)]
 
+#: Classes by similarity: words of a shingle, least Jaccard similarity, most bits between the fingerprints of a candidate.
+WORDS, SIMILARITY, WIDE = 5, 0.8, 24
+#: Min-wise keys of a text, and the minima that each holds: a pair shares none with probability (1 - 0.8**4)**16 at 0.8.
+KEYS, MINIMA = 16, 4
+_MIX = np.random.default_rng(SEED).integers(0, 1 << 64, (2, KEYS * MINIMA, 1), dtype=np.uint64)
+_MIX[1] |= np.uint64(1)
+
 
 def fingerprint(text: bytes, words: int = 3) -> int:
     """Unsigned fingerprint of one text: bit set where over half of the shingles' hashes set it."""
@@ -112,3 +125,106 @@ def keep_one(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """
     kept = near_duplicates(docs, key).where(F.col(key).isNull() | (F.col(key) == F.col("component_id"))).select(key).distinct()
     return docs.join(kept, docs[key].eqNullSafe(kept[key]), "left_semi")
+
+
+def shingles(text: bytes, words: int = WORDS) -> set[bytes]:
+    """The distinct runs of ``words`` words; of a shorter text its words, of an empty one none."""
+    tokens = text.lower().split()
+    if len(tokens) < words:
+        return {b" ".join(tokens)} if tokens else set()
+    return {b" ".join(tokens[i : i + words]) for i in range(len(tokens) - words + 1)}
+
+
+def sketch(text: bytes, words: int = WORDS) -> tuple[int, int, list[int]]:
+    """Digest of the words, fingerprint of the set of shingles and its min-wise keys, all signed; a text shorter than a shingle has no keys."""
+    joined = b" ".join(text.lower().split())
+    made = shingles(text, words)
+    node = xxhash.xxh64_intdigest(joined, SEED + 1)
+    if joined.count(b" ") + 1 < words:
+        return _signed(node), _signed(xxhash.xxh64_intdigest(joined, SEED)), []
+    digest = xxhash.xxh64_intdigest
+    hashes = np.fromiter((digest(x, SEED) for x in made), dtype=np.uint64, count=len(made))
+    ones = np.zeros(BITS, dtype=np.int64)
+    least = np.full(KEYS * MINIMA, (1 << 64) - 1, dtype=np.uint64)
+    for at in range(0, len(hashes), 1024):
+        part = hashes[at : at + 1024]
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        least = np.minimum(least, ((part ^ _MIX[0]) * _MIX[1]).min(1))
+    fp = int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+    keys = [_signed(digest(row.tobytes(), k)) for k, row in enumerate(least.reshape(KEYS, MINIMA))]
+    return _signed(node), _signed(fp), keys
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
+    """``(doc_id, row, node, fp, keys)``; ``row`` is a hash of id and text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            made = [sketch(t.encode() if t else b"", words) for t in batch.column(2).to_pylist()]
+            nodes, fps, keys = ([m[i] for m in made] for i in range(3))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(nodes, pa.int64()), pa.array(fps, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "row", "node", "fp", "keys"])
+
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(F.col(key).alias("doc_id"), F.xxhash64(key, text).alias("row"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, row long, node long, fp long, keys array<long>")
+
+
+def candidates(nodes: DataFrame, radius: int = WIDE) -> DataFrame:
+    """Pairs ``(u, v)`` of nodes that share a key and lie within ``radius`` bits; ``nodes`` has node, fp and keys.
+
+    All that hold a key meet its smallest and its largest holder only, so that
+    the number of pairs is linear in the nodes however many hold one key.
+    """
+    held = stage(nodes.select("node", "fp", F.explode("keys").alias("key")), "similar-keys")
+    one = F.struct("node", "fp")
+    ends = stage(held.groupBy("key").agg(F.min(one).alias("low"), F.max(one).alias("high")).where("low.node <> high.node"), "similar-ends")
+    met = held.join(ends, "key")
+    low = met.where("node <> low.node").select(F.col("low.node").alias("u"), F.col("node").alias("v"), F.col("low.fp").alias("a"), F.col("fp").alias("b"))
+    high = met.where("node <> low.node and node <> high.node").select(F.col("high.node").alias("u"), F.col("node").alias("v"), F.col("high.fp").alias("a"), F.col("fp").alias("b"))
+    return low.union(high).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius).select("u", "v").distinct()
+
+
+def similar(pairs: DataFrame, texts: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """Those of the pairs ``(u, v)`` whose shingle sets have the Jaccard similarity; ``texts`` has node and text, each node once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(iter([batch]), "t"):
+                ok = []
+                for s, t in zip(part.column(2).to_pylist(), part.column(3).to_pylist()):
+                    x, y = shingles(s.encode(), words), shingles(t.encode(), words)
+                    both = len(x & y)
+                    ok.append(both >= similarity * (len(x) + len(y) - both))
+                yield part.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
+
+    one = pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("s")).hint("merge"), "u")
+    two = one.join(texts.select(F.col("node").alias("v"), F.col("text").alias("t")).hint("merge"), "v")
+    return two.select("u", "v", "s", "t").mapInArrow(run, "u long, v long")
+
+
+def keep_one_similar(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, similarity: float = SIMILARITY, radius: int = WIDE) -> DataFrame:
+    """The document with the smallest id of each class; all columns as they came.
+
+    Texts of the same words are one class, and classes are linked by pairs whose
+    sets of ``words``-word shingles have a Jaccard similarity of ``similarity`` or more.
+    """
+    rows = stage(sketches(docs, key, text, words), "similar")
+    nodes = rows.groupBy("node").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"))
+    pairs = stage(candidates(nodes, radius), "similar-pairs")
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    # One row of each node stands for its text.
+    wanted = rows.groupBy("node").agg(F.min("row").alias("row")).join(wanted, "node", "left_semi")
+    found = docs.select(F.xxhash64(key, text).alias("row"), F.col(text).alias("text")).join(wanted, "row").select("node", "text")
+    classes = connected(similar(pairs, stage(found.dropDuplicates(["node"]), "similar-texts"), words, similarity))
+    rooted = rows.select("doc_id", "row", "node").join(classes.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
+    return _least(docs, rooted.select("doc_id", "row", F.coalesce("root", "node").alias("root")), key, text)
+
+
+def _least(docs: DataFrame, rooted: DataFrame, key: str, text: str) -> DataFrame:
+    """The rows of ``docs`` whose id is the smallest of their class; those without an id stay."""
+    least = rooted.groupBy("root").agg(F.min("doc_id").alias("least"))
+    kept = rooted.join(least, "root").where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("least"))).select("row").distinct()
+    return docs.withColumn("_row", F.xxhash64(key, text)).join(kept, F.col("_row") == F.col("row"), "left_semi").select(*docs.columns)

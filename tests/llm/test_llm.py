@@ -108,6 +108,47 @@ def test_near_duplicates(docs):
     assert sorted(r.doc_id is None or r.doc_id for r in simhash.keep_one(docs).collect()).count(5) == 2  # the repeated row
 
 
+def brute_similar(texts, least=0.8):
+    """The smallest index of each text's class under the exact similarity of the 5-word shingle sets."""
+    sets = [simhash.shingles((t or "").encode()) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            if x == y or len(x & y) >= least * len(x | y):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(texts))]
+
+
+def test_near_dedup_stage_by_similarity(spark):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(11)
+    word = lambda n: [f"w{k}" for k in rng.integers(0, 5000, n)]
+    texts = ["", " ", "two words", "Two  WORDS", "two other words"]
+    for n in (100, 300, 1000):
+        for share in (0.004, 0.01, 0.018, 0.02, 0.03, 0.05):
+            base = word(n)
+            near = list(base)
+            for at in rng.choice(n, max(1, int(n * share)), replace=False):
+                near[at] = "changed%d" % at
+            texts += [" ".join(base), " ".join(near)]
+    classes = brute_similar(texts)
+    pairs = [(a, b) for b, a in enumerate(classes) if a != b and a > 4]
+    apart = [bin(simhash.fingerprint(texts[a].encode()) ^ simhash.fingerprint(texts[b].encode())).count("1") for a, b in pairs]
+    assert sum(d > simhash.RADIUS for d in apart) >= 3 and len(pairs) < 18  # some that op2's contract leaves, some that stay two
+    df = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.near_dedup(spark, df, "")
+    assert got.columns == df.columns and sorted(r.doc_id for r in got.collect()) == sorted(set(classes))
+    assert corpus_pipeline.near_dedup(spark, df.limit(0), "").count() == 0
+
+
 def plain_ids(path, text):
     return tokenizers.Tokenizer.from_file(path).encode(text or "", add_special_tokens=False).ids
 
