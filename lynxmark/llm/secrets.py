@@ -44,6 +44,13 @@ RULES = (
     Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", "eyJ", 1),
 )
 BASE = ("assign", "access", "hex")
+#: A private key from its BEGIN to the next END line; without an END before the next BEGIN, header lines and what follows in base64.
+_KEY_BLOCK = (
+    r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:[^-]|-(?!----))*+-----END [A-Z ]*PRIVATE KEY-----"
+    r"|(?:(?:\s|\\[nr])*+[A-Za-z][A-Za-z-]*+: [^\n]*+)*+(?:(?:(?:\s|\\[nr])*+[A-Za-z0-9+/=]{16,}+)++(?:(?:\s|\\[nr])++[A-Za-z0-9+/=]++)?+)?+)"
+)
+#: What is redacted: as RULES, whose ``pem`` marks the first line only (so does op10's SQL), but with the key's whole block.
+REDACTED = tuple(Rule("pem", 2, _KEY_BLOCK, "-----BEGIN ", 1) if r.kind == "pem" else r for r in RULES)
 SPAN = "array<struct<start:int,rank:int,end:int,kind:string>>"
 
 
@@ -135,9 +142,9 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def redact(docs: DataFrame, ledger: str, mark: str = "[REDACTED]", key: str = "doc_id", text: str = "text") -> DataFrame:
+def redact(docs: DataFrame, ledger: str, mark: str = "[REDACTED]", key: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = REDACTED) -> DataFrame:
     """The documents with every secret's span replaced by ``mark``; columns as they came, ``n_chars`` renewed where there is one."""
-    found = scan_secrets(docs, ledger, key=key, text=text).where(F.size("spans") > 0).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans")).dropDuplicates(["_blob"])
+    found = scan_secrets(docs, ledger, rules, key, text).where(F.size("spans") > 0).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans")).dropDuplicates(["_blob"])
     blob = F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
     joined = docs.withColumn("_of", blob).join(found, F.col("_of") == F.col("_blob"), "left")
     body = F.col(text)
