@@ -47,13 +47,14 @@ def encode_media(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 def decode_media(media: DataFrame, column: str = "media") -> DataFrame:
     """Pixel arrays of a column of lossless WebP: ``width``, ``height`` and ``pixels`` (R, G, B, A) beside the other columns.
 
-    A null value gives nulls.  Any lossless file is read; of several in one value, the first.
+    A null value gives nulls.  Any lossless file is read; several in one value
+    are one image whose rows follow one another, and must have one width.
     """
     names = [n for n in media.columns if n not in (column, "width", "height", "pixels")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, column, STEP):
-            images = [None if m is None else webp.decode(webp.riff_files(m)[0]) for m in batch.column(0).to_pylist()]
+            images = [None if m is None else np.concatenate([webp.decode(f) for f in webp.riff_files(m)]) for m in batch.column(0).to_pylist()]
             out = [
                 pa.array([None if i is None else i.shape[1] for i in images], pa.int32()),
                 pa.array([None if i is None else i.shape[0] for i in images], pa.int32()),

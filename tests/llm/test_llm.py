@@ -209,6 +209,18 @@ def test_media_round_trip(docs):
     assert first.width == 64 and len(first.pixels) == 64 * 4 * first.height
 
 
+def test_decode_media_reads_all_files_of_a_value(spark):
+    raw = b"".join(b"%07d\n" % k for k in range(13000))  # 104,000 bytes: 542 rows, three files
+    df = spark.createDataFrame([(1, raw.decode()), (2, "short"), (3, None)], "doc_id long, text string")
+    stored = media.encode_media(df)
+    assert len(webp.riff_files(stored.where("doc_id = 1").first().media)) == 3
+    got = {r.doc_id: r for r in media.decode_media(stored.union(stored.selectExpr("4L", "n_bytes", "CAST(NULL AS BINARY)").limit(1))).collect()}
+    assert (got[1].width, got[1].height) == (64, 542) and (got[2].width, got[2].height) == (64, 1)
+    pixels = np.frombuffer(bytes(got[1].pixels), dtype=np.uint8).reshape(-1, 4)
+    assert pixels[:, : webp.CHANNELS].tobytes() == raw.ljust(542 * 192)
+    assert got[4].pixels is None and got[4].height is None
+
+
 class Writer:
     """Bits for hand-made VP8L streams."""
 
