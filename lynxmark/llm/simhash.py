@@ -224,7 +224,14 @@ def keep_one_similar(docs: DataFrame, key: str = "doc_id", text: str = "text", w
 
 
 def _least(docs: DataFrame, rooted: DataFrame, key: str, text: str) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of their class; those without an id stay."""
-    least = rooted.groupBy("root").agg(F.min("doc_id").alias("least"))
-    kept = rooted.join(least, "root").where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("least"))).select("row").distinct()
-    return docs.withColumn("_row", F.xxhash64(key, text)).join(kept, F.col("_row") == F.col("row"), "left_semi").select(*docs.columns)
+    """One row of ``docs`` for each class: of its smallest id; without an id only where none of the class has one."""
+    rows = rooted.groupBy("root", "doc_id", "row").agg(F.count("*").alias("n"))
+    least = rows.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "row", "n")).alias("one"))
+    kept = stage(least.select("one.row", "one.n"), "similar-kept")
+    tagged = docs.withColumn("_row", F.xxhash64(key, text))
+    single = lambda rows: tagged.join(rows.select("row"), F.col("_row") == F.col("row"), "left_semi")
+    if kept.where("n > 1").isEmpty():
+        return single(kept).select(*docs.columns)
+    # Rows that repeat both id and text: one of them.
+    repeated = single(kept.where("n > 1")).dropDuplicates(["_row"])
+    return single(kept.where("n = 1")).union(repeated).select(*docs.columns)

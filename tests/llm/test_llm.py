@@ -149,6 +149,20 @@ def test_near_dedup_stage_by_similarity(spark):
     assert corpus_pipeline.near_dedup(spark, df.limit(0), "").count() == 0
 
 
+def test_near_dedup_stage_keeps_one_row_of_each_class(spark, docs):
+    import corpus_pipeline
+
+    other = "another text of more than five words"
+    rows = [(5, TEXTS[5], "fr"), (None, "no id", "a"), (None, "no  ID", "b"), (None, other, "c"), (20, other, "d"), (None, "x y", "e"), (5, "of a class of its own", "f"), (3, "of a class of its own", "g")]
+    more = spark.createDataFrame([(i, t, g, None, 0, None, None, None) for i, t, g in rows], SCHEMA)
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, docs.union(more), "").collect()]
+    classes = {" ".join((t or "").lower().split()) for t in [*TEXTS, "no id", *(r[1] for r in rows)]}
+    assert len(got) == len(classes) and {" ".join((t or "").lower().split()) for _, t in got} == classes
+    assert [i for i, t in got if t == TEXTS[5]] == [5] and [i for i, t in got if t == other] == [20]
+    assert [i for i, t in got if t == "of a class of its own"] == [3] and [i for i, t in got if t == "x y"] == [None]
+    assert sum((t or "").lower().split() == ["no", "id"] for _, t in got) == 1
+
+
 def plain_ids(path, text):
     return tokenizers.Tokenizer.from_file(path).encode(text or "", add_special_tokens=False).ids
 
