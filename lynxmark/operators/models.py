@@ -26,12 +26,12 @@ def standardise(df: DataFrame, names: list[str], limit: float = 5.0) -> DataFram
     meds = df.agg(*(F.percentile(F.col(n), 0.5).alias(n) for n in names), *(F.stddev_samp(n).alias(f"{n}_sd") for n in names)).first()
     mids = {n: meds[n] if meds[n] is not None else 0.0 for n in names}
     mads = df.agg(*((F.percentile(F.abs(F.col(n) - mids[n]), 0.5) * MAD_SCALE).alias(n) for n in names)).first()
-    out = df
+    out = {}
     for n in names:
         scale = mads[n] or meds[f"{n}_sd"] or 1.0
         z = (F.coalesce(F.col(n), F.lit(mids[n])) - mids[n]) / scale
-        out = out.withColumn(n, F.greatest(F.lit(-limit), F.least(F.lit(limit), z)))
-    return out
+        out[n] = F.greatest(F.lit(-limit), F.least(F.lit(limit), z))
+    return df.withColumns(out)
 
 
 def _c(n: int) -> float:

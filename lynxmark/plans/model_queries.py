@@ -4,31 +4,38 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..llm.runtime import stage
 from ..operators import models
 from ..operators.ranking import with_midrank
 from .registry import Tables, query
 
-DIMS = [f"x{k}" for k in range(9)]
-
 
 def vectors(t: Tables):
-    return t.embeddings.select("vec_id", *(F.col("embedding")[k].cast("double").alias(n) for k, n in enumerate(DIMS)))
+    """The standardised vectors, a column for each component of the longest, and the columns' names."""
+    width = t.embeddings.agg(F.max(F.size("embedding"))).first()[0] or 1
+    names = [f"x{k}" for k in range(width)]
+    rows = t.embeddings.select("vec_id", *(F.get("embedding", F.lit(k)).cast("double").alias(n) for k, n in enumerate(names)))
+    return models.standardise(rows, names), names
 
 
 @query()
 def knn_outlier(t: Tables):
-    return models.knn_scores(models.standardise(vectors(t), DIMS), "vec_id", DIMS)
+    z, names = vectors(t)
+    return models.knn_scores(z, "vec_id", names)
 
 
 @query()
 def isolation_forest(t: Tables):
-    return models.isolation_scores(models.standardise(vectors(t), DIMS), "vec_id", DIMS)
+    z, names = vectors(t)
+    return models.isolation_scores(z, "vec_id", names)
 
 
 @query()
 def combined_anomaly(t: Tables):
-    z = models.standardise(vectors(t), DIMS)
-    both = models.isolation_scores(z, "vec_id", DIMS).join(models.knn_scores(z, "vec_id", DIMS), "vec_id")
+    z, names = vectors(t)
+    z = stage(z, "anomaly-vectors")
+    # The mid-ranks read the scores several times.
+    both = stage(models.isolation_scores(z, "vec_id", names).join(models.knn_scores(z, "vec_id", names), "vec_id"), "anomaly-scores")
     ranked = with_midrank(with_midrank(both, "iforest", "a"), "knn", "b")
     return ranked.select("vec_id", ((0.6 * F.col("a") + 0.4 * F.col("b")) * 100).alias("anomaly"))
 

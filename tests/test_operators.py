@@ -86,3 +86,16 @@ def test_schedule_and_review(spark):
     got = scoring.schedule(scoring.ranked(df, "s", "id"), 10, "2026-01-01").orderBy("rank").collect()
     assert [(r.band, r.wave) for r in got][:3] == [("critical", 1), ("critical", 1), ("high", 2)]
     assert len(got) == 10
+
+
+def test_anomaly_queries_read_every_component(spark, tmp_path):
+    from lynxmark.plans.catalogue import QUERIES
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 64))
+    x[7, 40:] += 40.0
+    df = spark.createDataFrame([(k, r) for k, r in enumerate(x.tolist())], "vec_id long, embedding array<float>")
+    df.write.parquet(f"{tmp_path}/embeddings.parquet")
+    for name, column in (("knn_outlier", "knn"), ("isolation_forest", "iforest"), ("combined_anomaly", "anomaly")):
+        got = QUERIES[name](spark, str(tmp_path)).collect()
+        assert len(got) == 300 and max(got, key=lambda r: r[column]).vec_id == 7, name
