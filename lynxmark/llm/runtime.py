@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -18,24 +20,71 @@ STEP_BYTES = 8 << 20
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+#: Bytes of text that one partition of a shuffle is to hold, and the most partitions that are asked for.
+PART_BYTES, MOST_PARTS = 64 << 20, 200_000
+_lock, _depth, _before = threading.Lock(), 0, "false"
+_scopes = threading.local()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the session names none (tests on one machine) a temporary folder is
-    made and set, so that later calls find the same one.
+    Where the session names none and the master is local (tests on one machine)
+    a temporary folder is made and set, so that later calls find the same one.
+    On a cluster each executor would write to a disk of its own: refused.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.conf.get("spark.lynxmark.shared.dir", None)
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="lynxmark-")
         spark.conf.set("spark.lynxmark.shared.dir", found)
     return found.rstrip("/")
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/lynxmark/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder; it goes with the enclosing ``temporary`` scope, else when the driver ends."""
+    path = f"{shared_dir(spark)}/lynxmark/{name}-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    for held in getattr(_scopes, "held", [])[-1:]:
+        held.append(path)
+    return path
+
+
+@contextmanager
+def temporary(spark: SparkSession):
+    """Deletes, at its end, what ``stage`` and ``shared_path`` made inside it.
+
+    Its results must have been written elsewhere by then.
+    """
+    _scopes.held = [*getattr(_scopes, "held", []), []]
+    try:
+        yield
+    finally:
+        for path in _scopes.held.pop():
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def _freed(spark: SparkSession):
+    """Shuffle files of an action go when it ends; actions of several threads may overlap."""
+    global _depth, _before
+    with _lock:
+        if not _depth:
+            _before = spark.conf.get(CLEANUP, "false")
+            spark.conf.set(CLEANUP, "true")
+        _depth += 1
+    try:
+        yield
+    finally:
+        with _lock:
+            _depth -= 1
+            if not _depth:
+                spark.conf.set(CLEANUP, _before)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -47,15 +96,38 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = shared_path(spark, name)
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
+    with _freed(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores behind it, so that no column of ``df`` has it."""
+    taken = {n.lower() for n in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def heavy(rows: DataFrame, name: str, share: int = 1000) -> list:
+    """The values of column ``name`` that more than one in ``share`` rows hold: fewer than ``share`` values, whatever the table holds."""
+    n = rows.count()
+    return [r[0] for r in rows.groupBy(name).agg(F.count("*").alias("n")).where(F.col("n") > max(1, n // share)).limit(share).collect()] if n > share else []
+
+
+def once_if_heavy(rows: DataFrame, name: str, values: list) -> DataFrame:
+    """``rows`` with those that hold one of ``values`` made one for each value before anything moves; they must be alike."""
+    if not values:
+        return rows
+    many = F.col(name).isin(values)
+    return rows.where(~many).union(rows.where(many).dropDuplicates([name]))
+
+
+def parts_for(spark: SparkSession, size: int | None) -> int:
+    """Partitions for ``size`` bytes of text: at most ``PART_BYTES`` in each, and work for every core."""
+    return min(MOST_PARTS, max(2 * parallelism(spark), -(-(size or 0) // PART_BYTES)))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

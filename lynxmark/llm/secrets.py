@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .runtime import shared_path, stage
+from .runtime import free_name, heavy, once_if_heavy, parts_for, shared_path, stage, utf8_size
 
 
 @dataclass(frozen=True)
@@ -52,9 +52,52 @@ _KEY_BLOCK = (
 #: What is redacted: as RULES, whose ``pem`` marks the first line only (so does op10's SQL), but with the key's whole block.
 REDACTED = tuple(Rule("pem", 2, _KEY_BLOCK, "-----BEGIN ", 1) if r.kind == "pem" else r for r in RULES)
 SPAN = "array<struct<start:int,rank:int,end:int,kind:string>>"
+#: As the ledger holds them: with the rule and its version instead of a rank, which is the asking scan's.
+KEPT = "array<struct<start:int,end:int,rule:string>>"
+#: Values of one step of a running sum, code points of one piece of a text.
+STEP, PIECE = 64, 4096
 
 
-def _found(text: Column, rule: Rule, rank: int, wanted: Column) -> Column:
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _fold(xs: Column, join) -> Column:
+    return F.aggregate(xs, F.lit(0), join)
+
+
+def _running(xs: Column, join) -> Column:
+    """For each place of ``xs``, and the place behind the last, the join (sum or maximum) of all values before it.
+
+    Steps of 64 values, of 64 steps and of all of those bound the work at each
+    place, so that it grows with the number of values only.
+    """
+
+    def steps(ys: Column) -> Column:
+        n = F.ceil(F.size(ys) / STEP).cast("int")
+        starts = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda k: _fold(F.slice(ys, k * STEP + 1, F.lit(STEP)), join))
+
+    def at(s: Column, i: Column) -> Column:
+        near = _fold(F.slice(s["xs"], i - i % STEP + 1, i % STEP), join)
+        k = F.floor(i / STEP).cast("int")
+        wide = F.floor(i / (STEP * STEP)).cast("int")
+        return join(join(near, _fold(F.slice(s["one"], k - k % STEP + 1, k % STEP), join)), _fold(F.slice(s["two"], F.lit(1), wide), join))
+
+    levels = _let(xs, lambda v: _let(steps(v), lambda one: F.struct(v.alias("xs"), one.alias("one"), steps(one).alias("two"))))
+    return _let(levels, lambda s: F.transform(F.sequence(F.lit(0), F.size(s["xs"])), lambda i: at(s, i)))
+
+
+def _plus(a: Column, b: Column) -> Column:
+    return a + b
+
+
+def _greater(a: Column, b: Column) -> Column:
+    return F.greatest(a, b)
+
+
+def _found(text: Column, rule: Rule, wanted: Column) -> Column:
     """Spans of one rule in ``text``: leftmost, non-overlapping, those too short dropped.
 
     The pieces between matches and the matches themselves, in turn, give each
@@ -62,42 +105,55 @@ def _found(text: Column, rule: Rule, rank: int, wanted: Column) -> Column:
     """
     pattern = F.lit(rule.pattern)
     hits = F.regexp_extract_all(text, pattern, F.lit(0))
-    gaps = F.transform(F.split(text, rule.pattern, -1), lambda x: F.length(x))
-    own = F.transform(F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else hits, lambda x: F.length(x))
-    add = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x)
-    places = F.transform(
-        F.array(F.struct(gaps.alias("gaps"), F.transform(hits, lambda x: F.length(x)).alias("lens"), own.alias("own"))),
-        lambda s: F.transform(
+    sizes = lambda xs: F.transform(xs, lambda x: F.length(x))
+    gaps = sizes(F.split(text, rule.pattern, -1))
+    own = sizes(F.regexp_extract_all(text, pattern, F.lit(rule.group))) if rule.group else F.lit(None).cast("array<int>")
+
+    def spans(s: Column) -> Column:
+        # Before match i lie its gap and, for each earlier match, that one's gap and length.
+        before = _running(F.zip_with(s["gaps"], s["lens"], lambda g, n: g + F.coalesce(n, F.lit(0))), _plus)
+        long = s["own"] if rule.group else s["lens"]
+        each = lambda b: F.transform(
             s["lens"],
-            lambda n, i: F.struct(
-                (add(F.slice(s["gaps"], 1, i + 1)) + add(F.slice(s["lens"], 1, i))).alias("start"),
-                F.lit(rank).alias("rank"),
-                (add(F.slice(s["gaps"], 1, i + 1)) + add(F.slice(s["lens"], 1, i)) + n).alias("end"),
-                F.when(s["own"][i] >= rule.least, F.lit(rule.kind)).alias("kind"),
+            lambda n, i: F.when(
+                long[i] >= rule.least, F.struct((b[i] + s["gaps"][i]).alias("start"), (b[i] + s["gaps"][i] + n).alias("end"), F.lit(rule.name).alias("rule"))
             ),
-        ),
-    )[0]
+        )
+        return F.filter(_let(before, each), lambda x: x.isNotNull())
+
+    places = _let(F.struct(gaps.alias("gaps"), sizes(hits).alias("lens"), own.alias("own")), spans)
     there = text.contains(rule.guard) if rule.guard else text.rlike(rule.pattern)
-    return F.when(wanted & there, F.filter(places, lambda s: s["kind"].isNotNull())).otherwise(F.array().cast(SPAN))
+    return F.when(wanted & there, places).otherwise(F.array().cast(KEPT))
 
 
 def scan_text(text: Column, pending: Column, rules: tuple[Rule, ...] = RULES) -> Column:
-    """All spans of the ``pending`` rules (array of rule names), by start and then by kind's rank."""
-    return F.array_sort(F.concat(*(_found(text, r, k, F.array_contains(pending, r.name)) for k, r in enumerate(rules))))
+    """All spans of the ``pending`` rules (array of rule names), as the ledger keeps them."""
+    return F.concat(*(_found(text, r, F.array_contains(pending, r.name)) for r in rules))
+
+
+def _row(key: Column, text: Column) -> Column:
+    """Names a row by id and text; never null, so that a join on it needs no null-safe form."""
+    return F.xxhash64(key, text)
 
 
 def scan_secrets(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, blob, spans`` for every document; the ledger at path ``ledger`` grows by what was scanned.
 
-    ``spans`` has start, rank, end (code points, end exclusive) and kind, sorted.
-    Null text counts as empty.  Equal texts are one blob, scanned once, and all
-    their documents get its findings.  An empty table scans nothing.
+    ``spans`` has start, rank, end (code points, end exclusive) and kind, sorted
+    by start and then by the rule's place in ``rules``.  Only pairs of a blob
+    and a rule version that the ledger does not hold are scanned, and only
+    findings of the versions in ``rules`` are returned: what an older version of
+    a rule found stays in the ledger, but does not count.  Null text counts as
+    empty.  Equal texts are one blob, scanned once, and all their documents get
+    its findings.  An empty table scans nothing.
     """
     spark = docs.sparkSession
     body = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     blob = F.unhex(F.sha2(F.col("text"), 256))
-    paths = stage(body.select("doc_id", blob.alias("blob")), "secret-paths")
-    reps = paths.groupBy("blob").agg(F.min("doc_id").alias("rep"))
+    row = _row(F.col("doc_id"), F.col("text"))
+    paths = stage(body.select("doc_id", blob.alias("blob"), row.alias("row"), utf8_size().alias("size")), "secret-paths")
+    # One row of a blob stands for it.  Many rows that repeat both id and text share a name; they are made one before they move.
+    reps = paths.groupBy("blob").agg(F.min("row").alias("rep"))
     names = F.array(*(F.lit(r.name) for r in rules))
     seen = read_ledger(spark, ledger)
     if seen is not None:
@@ -106,25 +162,30 @@ def scan_secrets(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES,
     else:
         reps = reps.withColumn("pending", names)
     reps = reps.where(F.size("pending") > 0).select("rep", F.col("blob").alias("wanted"), "pending")
-    n = 4 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    texts = body.repartition(n, "doc_id").join(reps.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("rep")) & (blob == F.col("wanted")))
+    parts = parts_for(spark, paths.agg(F.sum("size")).first()[0])
+    texts = once_if_heavy(body.select(row.alias("row"), "text"), "row", heavy(paths, "row")).repartition(parts, "row").join(reps.repartition(parts, "rep").hint("shuffle_hash"), F.col("row") == F.col("rep"))
+    texts = texts.where(blob == F.col("wanted"))
     fresh = texts.select(F.col("wanted").alias("blob"), F.col("pending").alias("rules"), scan_text(F.col("text"), F.col("pending"), rules).alias("spans"))
     fresh = fresh.dropDuplicates(["blob"])  # a row that occurs twice is its own representative twice
     fresh.write.mode("append").parquet(ledger)
-    current = [r.name for r in rules]
-    kinds = [r.kind for r in rules]
-    rows = read_ledger(spark, ledger).where(F.arrays_overlap("rules", F.array(*map(F.lit, current))) & (F.size("spans") > 0))
-    rows = rows.select("blob", F.filter("spans", lambda s: s["kind"].isin(kinds)).alias("spans"))
-    found = rows.groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
+    named = lambda s, out, value: F.when(s["rule"] == out.name, F.lit(value))
+    rank = lambda s: F.coalesce(*(named(s, r, k) for k, r in enumerate(rules)))
+    kind = lambda s: F.coalesce(*(named(s, r, r.kind) for r in rules))
+    current = F.filter("spans", lambda s: s["rule"].isin([r.name for r in rules]))
+    ranked = F.transform(current, lambda s: F.struct(s["start"].alias("start"), rank(s).alias("rank"), s["end"].alias("end"), kind(s).alias("kind")))
+    rows = read_ledger(spark, ledger).select("blob", ranked.alias("spans")).where(F.size("spans") > 0)
+    # Two scans at one time may both have written a finding; comparing neighbours stays linear, array_distinct does not.
+    once = lambda xs: F.filter(xs, lambda x, i: (i == 0) | (x != xs[F.greatest(i - 1, F.lit(0))]))
+    found = rows.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans")).select("blob", _let(F.col("spans"), once).alias("spans"))
     return paths.join(found, "blob", "left").select(F.col("doc_id").alias(key), "blob", F.coalesce("spans", F.array().cast(SPAN)).alias("spans"))
 
 
 def read_ledger(spark: SparkSession, ledger: str) -> DataFrame | None:
-    """The ledger's table ``(blob, rules, spans)``; None where nothing was written yet."""
+    """The ledger's table ``(blob, rules, spans)``, one row for each scan of a blob; None where nothing was written yet."""
     path = spark._jvm.org.apache.hadoop.fs.Path(ledger)
     if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
         return None
-    return spark.read.schema(f"blob binary, rules array<string>, spans {SPAN}").parquet(ledger)
+    return spark.read.schema(f"blob binary, rules array<string>, spans {KEPT}").parquet(ledger)
 
 
 def _joined(spans: Column) -> Column:
@@ -142,24 +203,35 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _cut(pieces: Column, start: Column, size: Column) -> Column:
+    """``size`` code points from ``start`` (from 0) of the text that ``pieces`` make up."""
+    first, last = F.floor(start / PIECE).cast("int"), F.floor((start + size - 1) / PIECE).cast("int")
+    return F.when(size > 0, F.substring(F.array_join(F.slice(pieces, first + 1, last - first + 1), ""), start % PIECE + 1, size)).otherwise("")
+
+
+def redacted(body: Column, spans: Column, mark: str) -> Column:
+    """``body`` with its ``spans``, sorted by start, replaced by ``mark``; spans that overlap one before go with it."""
+    pieces = F.regexp_extract_all(body, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    parts = F.struct(pieces.alias("pieces"), spans.alias("spans"), _running(F.transform(spans, lambda s: s["end"]), _greater).alias("done"))
+
+    def joined(x: Column) -> Column:
+        done = x["done"]
+        each = F.transform(x["spans"], lambda s, i: F.when(s["start"] >= done[i], F.concat(_cut(x["pieces"], done[i], s["start"] - done[i]), F.lit(mark))).otherwise(""))
+        tail = _cut(x["pieces"], done[F.size(x["spans"])], F.length(body) - done[F.size(x["spans"])])
+        return F.concat(F.array_join(each, ""), tail)
+
+    return _let(parts, joined)
+
+
 def redact(docs: DataFrame, ledger: str, mark: str = "[REDACTED]", key: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = REDACTED) -> DataFrame:
     """The documents with every secret's span replaced by ``mark``; columns as they came, ``n_chars`` renewed where there is one."""
-    found = scan_secrets(docs, ledger, rules, key, text).where(F.size("spans") > 0).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans")).dropDuplicates(["_blob"])
-    blob = F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
-    joined = docs.withColumn("_of", blob).join(found, F.col("_of") == F.col("_blob"), "left")
+    of, named, spans = (free_name(docs, n) for n in ("_of", "_blob", "_spans"))
+    found = scan_secrets(docs, ledger, rules, key, text).where(F.size("spans") > 0).select(F.col("blob").alias(named), F.col("spans").alias(spans)).dropDuplicates([named])
+    joined = docs.withColumn(of, F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256))).join(found, F.col(of) == F.col(named), "left")
     body = F.col(text)
-    # (next code point to copy, text so far)
-    walked = F.aggregate(
-        "_spans",
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda a, s: F.when(
-            s["start"] >= a["at"], F.struct(s["end"].alias("at"), F.concat(a["out"], body.substr(a["at"] + 1, s["start"] - a["at"]), F.lit(mark)).alias("out"))
-        ).otherwise(F.struct(F.greatest(a["at"], s["end"]).alias("at"), a["out"].alias("out"))),
-    )
-    clean = F.transform(F.array(walked), lambda a: F.concat(a["out"], body.substr(a["at"] + 1, F.length(body))))[0]
-    out = joined.withColumn(text, F.when(F.col("_spans").isNotNull(), clean).otherwise(body))
+    out = joined.withColumn(text, F.when(F.col(spans).isNotNull(), redacted(body, F.col(spans), mark)).otherwise(body))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNotNull(), F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col(spans).isNotNull(), F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 
