@@ -1,7 +1,7 @@
 """Media columns: texts as lossless images and back.
 
-Payloads are stored as lossless WebP; the stored bytes are decoded again and
-features come from the decoded pixels.
+Payloads are stored as lossless WebP; the stored bytes are decoded again, all by
+the general decoder, and features come from the decoded pixels.
 """
 
 from __future__ import annotations
@@ -18,14 +18,15 @@ from pyspark.sql import functions as F
 from . import webp
 from .runtime import slices, text_bytes
 
-STEP = 6 << 20
+#: Bytes of text that are encoded, and of media that are decoded, in one step.
+STEP, MEDIA_STEP = 2 << 20, 3 << 20
 GRID = 8
 
 
 def encode_media(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, n_bytes, media``: each text's UTF-8, padded with spaces to a positive multiple of 192, as WebP.
 
-    Null text counts as empty.  A payload of over 256 rows continues in further
+    Null text counts as empty.  A payload of over 64 rows continues in further
     files within the same value.
     """
 
@@ -53,8 +54,10 @@ def decode_media(media: DataFrame, column: str = "media") -> DataFrame:
     names = [n for n in media.columns if n not in (column, "width", "height", "pixels")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, column, STEP):
-            images = [None if m is None else np.concatenate([webp.decode(f) for f in webp.riff_files(m)]) for m in batch.column(0).to_pylist()]
+        for batch in slices(batches, column, MEDIA_STEP):
+            files = [[] if m is None else webp.riff_files(m) for m in batch.column(0).to_pylist()]
+            decoded = iter(webp.decode_many([f for of in files for f in of]))
+            images = [np.concatenate([next(decoded) for _ in of]) if of else None for of in files]
             out = [
                 pa.array([None if i is None else i.shape[1] for i in images], pa.int32()),
                 pa.array([None if i is None else i.shape[0] for i in images], pa.int32()),
@@ -81,7 +84,7 @@ def describe_media(media: DataFrame, key: str = "doc_id") -> DataFrame:
     """Read stored payloads back and describe them: sizes, hashes and a feature of the pixels."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "media", STEP):
+        for batch in slices(batches, "media", MEDIA_STEP):
             stored = batch.column(2).to_pylist()
             payloads = webp.decode_payloads(stored)
             columns = [
