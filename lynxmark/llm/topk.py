@@ -1,110 +1,278 @@
 """Exact top-k inner products with a KD-tree for each shard.
 
-Vectors are quantized, floor(64 * x), and dealt into shards by the hash of their
-id.  Queries are dealt into blocks.  A block first meets its home shard, which
-gives each query a k-th score; that score travels to all other shards, where a
-subtree is opened only if the best inner product its bounding box allows is not
-below it.  Trees split at the median of the widest side and keep tight boxes;
-leaves are visited best bound first, for all queries of a block together, and
-the k-th score rises as they are read.
-
-A task holds one shard and one block, both of bounded size.
+Vectors are quantized, floor(64 * x).  A bounded sample gives the median splits
+of a coarse tree, whose cells deal the vectors into shards, so that a shard is a
+region and not a mixture; a full cell is dealt into several shards by hash.
+Each shard's tree, with median splits of the widest side and tight boxes, is
+built once and kept as a row of a staged table.
+
+Queries are packed into blocks of one cell.  A block first meets a home shard of
+its own cell, which gives each query a k-th score.  With that score a query goes
+on only to cells whose box still allows a better product, and in each shard a
+heap of nodes, best bound first, is walked until no box can win; the k-th score
+rises as leaves are read.  Trees do not move with the queries: a task reads a
+tree and then, one after another, all blocks that come to it.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .runtime import stage
+from .runtime import parallelism, stage
 
 SCALE, K, EVERY = 64, 20, 20
-#: Vectors of a shard, queries of a block, vectors of a leaf.
-SHARD, BLOCK, LEAF = 8192, 1024, 256
+#: Vectors of a shard (least and most), queries of a block, vectors of a leaf.
+SHARD, BLOCK, LEAF = (2048, 32768), 512, 256
+#: Levels of the coarse tree, the vectors that it is learnt from, and the vector lengths that have one (the most frequent).
+DEPTH, SAMPLE, LENGTHS = 8, 8192, 8
+#: Components up to this size multiply exactly in float64 (2048 components); others are multiplied as Python integers.
+EXACT = 1 << 21
+#: A score beyond this saturates.
+MOST = (1 << 63) - 1
+
+
+def coarse_splits(vectors: np.ndarray, depth: int) -> tuple[list[int], list[float]]:
+    """Axis and value of each inner node, numbered from 1 with children 2n and 2n + 1, by medians of the widest side."""
+    axes, values = [0] * (1 << depth), [math.inf] * (1 << depth)
+    parts = {1: vectors}
+    for node in range(1, 1 << depth):
+        part = parts.pop(node)
+        if len(part):
+            side = part.max(0) - part.min(0)
+            axes[node] = int(np.argmax(side))
+            column = part[:, axes[node]]
+            values[node] = float(np.median(column)) if side[axes[node]] > 0 else math.inf
+            right = column >= values[node]
+            parts[2 * node], parts[2 * node + 1] = part[~right], part[right]
+        else:
+            parts[2 * node] = parts[2 * node + 1] = part
+    return axes, values
+
+
+def cell_of(q: Column, axes: list[int], values: list[float], depth: int) -> Column:
+    """The cell of a vector: its leaf in the coarse tree, from 0."""
+    axis, value = F.array(*map(F.lit, axes)), F.array(*map(F.lit, values))
+    step = lambda node, _: node * 2 + (q[axis[node]] >= value[node]).cast("int")
+    return F.aggregate(F.array_repeat(F.lit(0), depth), F.lit(1), step) - (1 << depth)
 
 
 class Tree:
-    """Median splits with tight boxes over integer vectors (float64, exact)."""
+    """Median splits with tight boxes; rows are put in the order of the leaves."""
 
     def __init__(self, vectors: np.ndarray, leaf: int = LEAF):
-        self.rows: list[np.ndarray] = []
-        low, high, kids = [], [], []
-        todo = [(np.arange(len(vectors)), -1, 0)]
+        order: list[np.ndarray] = []
+        self.low, self.high, self.kids, self.span = [], [], [], []
+        todo, done = [(np.arange(len(vectors)), -1, 0)], 0
         while todo:
             rows, parent, side = todo.pop()
-            me, part = len(low), vectors[rows]
-            low.append(part.min(0))
-            high.append(part.max(0))
-            kids.append([-1, -1])
-            self.rows.append(rows)
+            me, part = len(self.low), vectors[rows]
+            self.low.append(part.min(0))
+            self.high.append(part.max(0))
+            self.kids.append([-1, -1])
+            self.span.append([0, 0])
             if parent >= 0:
-                kids[parent][side] = me
-            widest = int(np.argmax(high[me] - low[me]))
-            if len(rows) <= leaf or high[me][widest] == low[me][widest]:
+                self.kids[parent][side] = me
+            widest = int(np.argmax(self.high[me] - self.low[me]))
+            if len(rows) <= leaf or self.high[me][widest] == self.low[me][widest]:
+                self.span[me] = [done, done + len(rows)]
+                order.append(rows)
+                done += len(rows)
                 continue
-            order = np.argpartition(part[:, widest], len(rows) // 2)
-            todo.append((rows[order[: len(rows) // 2]], me, 0))
-            todo.append((rows[order[len(rows) // 2 :]], me, 1))
-        self.low, self.high, self.kids = np.array(low), np.array(high), kids
-
-    def bounds(self, queries: np.ndarray) -> np.ndarray:
-        """Largest inner product that each node's box allows to each query (queries x nodes)."""
-        return np.maximum(queries, 0) @ self.high.T + np.minimum(queries, 0) @ self.low.T
-
-
-def search(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, floors: np.ndarray, k: int = K) -> list[list[tuple[float, int]]]:
-    """Best ``k`` of one shard for each query: (score, id), by score then smaller id; none below the query's floor."""
-    leaf = max(LEAF, k)
-    tree = Tree(vectors, leaf)
-    bounds = tree.bounds(queries)
-    leaves = [n for n, kid in enumerate(tree.kids) if kid == [-1, -1]]
-    # What a query may still open: every ancestor's bound must hold, the tightest being the leaf's own.
-    kth = floors.astype(np.float64).copy()
-    best_s = np.full((len(queries), 0), 0.0)
-    best_i = np.full((len(queries), 0), 0, dtype=np.int64)
-    ranks = np.argsort(-bounds[:, leaves], axis=1, kind="stable")
-    for turn in range(len(leaves)):
-        # Each query opens its next best leaf; those of one leaf go together.
-        mine = ranks[:, turn]
-        open_ = bounds[np.arange(len(queries)), np.array(leaves)[mine]] >= kth
-        if not open_.any():
-            break
-        new_s = np.full((len(queries), leaf), -np.inf)
-        new_i = np.full((len(queries), leaf), np.iinfo(np.int64).max)
-        for one in np.unique(mine[open_]).tolist():
-            who = np.flatnonzero(open_ & (mine == one))
-            rows = tree.rows[leaves[one]]
-            s = queries[who] @ vectors[rows].T
-            s[ids[rows][None, :] == query_ids[who][:, None]] = -np.inf
-            i = np.broadcast_to(ids[rows], s.shape)
-            if s.shape[1] > leaf:  # a leaf of equal vectors: the smallest ids
-                order = np.lexsort((i, -s), axis=1)[:, :leaf]
-                s, i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
-            new_s[who, : s.shape[1]], new_i[who, : s.shape[1]] = s, i
-        best_s, best_i = np.concatenate([best_s, new_s], 1), np.concatenate([best_i, new_i], 1)
-        order = np.lexsort((best_i, -best_s), axis=1)[:, :k]
-        best_s, best_i = np.take_along_axis(best_s, order, 1), np.take_along_axis(best_i, order, 1)
-        if best_s.shape[1] == k:
-            kth = np.maximum(kth, best_s[:, k - 1])
-    return [[(s, i) for s, i in zip(a, b) if s > -math.inf and s >= f] for a, b, f in zip(best_s.tolist(), best_i.tolist(), floors.tolist())]
-
-
-def _block(left: pd.DataFrame, right: pd.DataFrame, k: int) -> pd.DataFrame:
-    out: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}
-    if len(left) and len(right):
-        vectors, queries = np.array(right["q"].tolist(), dtype=np.float64), np.array(left["q"].tolist(), dtype=np.float64)
-        found = search(right["vec_id"].to_numpy(), vectors, left["query_id"].to_numpy(), queries, left["floor"].to_numpy(dtype=np.float64), k)
-        for name, best in zip(left["query_id"].tolist(), found):
-            for s, i in best:
-                out["query_id"].append(name)
-                out["vec_id"].append(i)
-                out["score"].append(int(s))
-    return pd.DataFrame(out).astype({"query_id": "int64", "vec_id": "int64", "score": "int64"})
+            cut = np.argpartition(part[:, widest], len(rows) // 2)
+            todo.append((rows[cut[: len(rows) // 2]], me, 0))
+            todo.append((rows[cut[len(rows) // 2 :]], me, 1))
+        self.order = np.concatenate(order)
+        self.low, self.high, self.kids, self.span = (np.array(x) for x in (self.low, self.high, self.kids, self.span))
+
+
+class Best:
+    """The best ``k`` of each query so far (query's row, score, id, times); hits wait in a list until they are many."""
+
+    def __init__(self, floors: np.ndarray, k: int):
+        self.k, self.kth = k, floors.copy()
+        self.found = tuple(np.empty(0, dtype=t) for t in (np.int64, floors.dtype, np.int64, np.int64))
+        self.held: list[tuple[np.ndarray, ...]] = []
+        self.waiting = 0
+
+    def add(self, *hits: np.ndarray) -> None:
+        self.held.append(hits)
+        self.waiting += len(hits[0])
+
+    def settle(self) -> None:
+        """Keep the best ``k`` of each query, ties to the smaller id, and raise the k-th scores."""
+        row, score, ids, times = (np.concatenate(x) for x in zip(self.found, *self.held))
+        self.held, self.waiting = [], 0
+        order = np.lexsort((ids, -score, row))
+        row = row[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        last = place == self.k - 1
+        self.kth[row[last]] = np.maximum(self.kth[row[last]], score[order][last])
+        keep = order[place < self.k]
+        self.found = row[place < self.k], score[keep], ids[keep], times[keep]
+
+
+def search(tree: dict, queries: np.ndarray, names: np.ndarray, floors: np.ndarray, k: int = K) -> tuple[tuple[np.ndarray, ...], int]:
+    """Query's row, score, id and times of the best ``k`` of one shard for each query, none below its floor; and the leaves read.
+
+    Nodes are walked from a heap by the largest excess of their bound over a
+    query's k-th score; a node that no query can win from is not opened.
+    """
+    vectors, ids, times, low, high, kids, span = (tree[n] for n in ("vectors", "ids", "times", "low", "high", "kids", "span"))
+    exact = queries.dtype == object
+    best, opened = Best(floors, k), 0
+    up, down = np.maximum(queries, 0), np.minimum(queries, 0)
+
+    def bound(node: int) -> np.ndarray:
+        b = up @ high[node] + down @ low[node]
+        return np.array([min(MOST, max(-MOST, v)) for v in b], dtype=np.int64) if exact else b
+
+    bounds = {0: bound(0)}
+    heap = [(-float((bounds[0] - best.kth.astype(float)).max()), 0)]
+    while heap:
+        _, node = heapq.heappop(heap)
+        who = np.flatnonzero(bounds.pop(node) >= best.kth)
+        if not len(who):
+            continue
+        if kids[node][0] >= 0:
+            for kid in kids[node].tolist():
+                b = bound(kid)
+                if (b >= best.kth).any():
+                    bounds[kid] = b
+                    heapq.heappush(heap, (-float((b - best.kth.astype(float)).max()), kid))
+            continue
+        opened += 1
+        a, b = span[node].tolist()
+        s = queries[who] @ vectors[a:b].T
+        if exact:
+            s = np.array([[min(MOST, max(-MOST, v)) for v in r] for r in s], dtype=np.int64).reshape(s.shape)
+        row, column = np.nonzero(s >= best.kth[who][:, None])
+        other = ids[a + column] != names[who[row]]
+        row, column = row[other], column[other]
+        best.add(who[row], s[row, column], ids[a + column], times[a + column])
+        if opened == 1 or best.waiting > k * len(queries):
+            best.settle()
+    best.settle()
+    return best.found, opened
+
+
+def _numbers(column: pa.Array, dim: int) -> np.ndarray:
+    return np.asarray(column.flatten(), dtype=np.float64).reshape(-1, dim)
+
+
+def _exact(x: np.ndarray, big: bool) -> np.ndarray:
+    """Float64, or Python integers where products would not be exact."""
+    return np.array([[int(v) for v in r] for r in x.tolist()], dtype=object).reshape(x.shape) if big else x
+
+
+def _pack(arrays: dict[str, np.ndarray]) -> bytes:
+    return b"".join(np.ascontiguousarray(a).tobytes() for a in arrays.values())
+
+
+def _build(table: pa.Table) -> pa.Table:
+    """One row with a shard's tree."""
+    dim = table.column("dim")[0].as_py()
+    vectors = _numbers(table.column("q").combine_chunks(), dim)
+    tree = Tree(vectors)
+    arrays = {
+        "vectors": vectors[tree.order], "ids": np.asarray(table.column("vec_id"))[tree.order], "times": np.asarray(table.column("times"))[tree.order],
+        "low": tree.low, "high": tree.high, "kids": tree.kids.astype(np.int64), "span": tree.span.astype(np.int64),
+    }
+    key = {n: [table.column(n)[0].as_py()] for n in ("dim", "big", "cell", "part")}
+    out = {**key, "rows": [len(vectors)], "nodes": [len(tree.low)], "low": [tree.low[0].tolist()], "high": [tree.high[0].tolist()], "tree": [_pack(arrays)]}
+    return pa.table(out, schema=pa.schema([("dim", pa.int32()), ("big", pa.bool_()), ("cell", pa.int32()), ("part", pa.int32()), ("rows", pa.int64()), ("nodes", pa.int64()), ("low", pa.list_(pa.float64())), ("high", pa.list_(pa.float64())), ("tree", pa.binary())]))
+
+
+def _unpack(raw: bytes, dim: int, rows: int, nodes: int) -> dict[str, np.ndarray]:
+    shapes = {"vectors": (rows, dim), "ids": (rows,), "times": (rows,), "low": (nodes, dim), "high": (nodes, dim), "kids": (nodes, 2), "span": (nodes, 2)}
+    out, at = {}, 0
+    for name, shape in shapes.items():
+        kind = np.float64 if name in ("vectors", "low", "high") else np.int64
+        n = math.prod(shape)
+        out[name] = np.frombuffer(raw, dtype=kind, count=n, offset=at).reshape(shape)
+        at += 8 * n
+    return out
+
+
+def _found(tree: dict, names: np.ndarray, queries: np.ndarray, floors: list[int | None], exact: bool, k: int) -> pa.RecordBatch:
+    low = np.array([-MOST if f is None else f for f in floors], dtype=np.int64)
+    low = low if exact else np.where([f is None for f in floors], -math.inf, low.astype(float))
+    (row, score, ids, times), _ = search(tree, queries, names, low, k)
+    many = np.minimum(times, k)
+    out = (names[row], ids, score.astype(np.int64))
+    return pa.RecordBatch.from_arrays([pa.array(np.repeat(x, many), pa.int64()) for x in out], names=["query_id", "vec_id", "score"])
+
+
+SHARD_KEY = ("dim", "big", "cell", "part")
+BLOCK_DATA = ("names", "floors", "qs", "large")
+
+
+def _blocks(asked: DataFrame) -> DataFrame:
+    """Queries packed by dim, cell and block: arrays of ids, floors and all components."""
+    one = F.struct("query_id", "floor", "q", "large")
+    packed = asked.groupBy("dim", "cell", "block").agg(F.sort_array(F.collect_list(one)).alias("x"))
+    return packed.select("dim", "cell", "block", F.col("x.query_id").alias("names"), F.col("x.floor").alias("floors"), F.flatten("x.q").alias("qs"), F.exists("x.large", lambda v: v).alias("large"))
+
+
+def _meet(trees: DataFrame, sent: DataFrame, copies: int, k: int) -> DataFrame:
+    """``query_id, vec_id, score``: what each block finds in the shard (``SHARD_KEY``) that it is sent to.
+
+    A shard's tree and its blocks come to one partition, the tree first; few
+    shards with many blocks are copied ``copies`` times.
+    """
+    key = [*SHARD_KEY, "copy"]
+    sent = sent.withColumn("copy", F.pmod(F.hash("names"), F.lit(copies)))
+    used = sent.select(*key).distinct()
+    one = trees.select(*SHARD_KEY, "rows", "nodes", "tree").join(used, list(SHARD_KEY)).withColumn("kind", F.lit(0))
+    two = sent.select(*key, *BLOCK_DATA).withColumn("kind", F.lit(1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree, now = {}, None
+        for batch in batches:
+            for at in range(batch.num_rows):
+                row = {n: batch.column(i)[at] for i, n in enumerate(batch.schema.names)}
+                place, dim = tuple(row[n].as_py() for n in key), row["dim"].as_py()
+                if row["kind"].as_py() == 0:
+                    tree, now = _unpack(row["tree"].as_py(), dim, row["rows"].as_py(), row["nodes"].as_py()), place
+                    continue
+                if place != now:
+                    raise ValueError("a block came without its tree")
+                exact = place[1] or row["large"].as_py()
+                queries = _exact(np.asarray(row["qs"].values).reshape(-1, dim), exact)
+                here = {n: _exact(a, True) if exact and n in ("vectors", "low", "high") else a for n, a in tree.items()}
+                yield _found(here, np.asarray(row["names"].values), queries, row["floors"].as_py(), exact, k)
+
+    rows = one.unionByName(two, allowMissingColumns=True).repartition(4 * parallelism(trees.sparkSession), *key).sortWithinPartitions(*key, "kind")
+    return rows.mapInArrow(run, "query_id long, vec_id long, score long")
+
+
+def _still_open(blocks: DataFrame, boxes: dict[int, list[tuple[int, np.ndarray, np.ndarray]]]) -> DataFrame:
+    """The blocks, once for each cell whose box can still win, with those of their queries that it can win for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                row = {n: batch.column(i)[at] for i, n in enumerate(batch.schema.names)}
+                dim, large = row["dim"].as_py(), row["large"].as_py()
+                names, floors, qs = np.asarray(row["names"].values), row["floors"].as_py(), np.asarray(row["qs"].values).reshape(-1, dim)
+                kth = np.array([-math.inf if f is None else f for f in floors], dtype=float)
+                out: dict[str, list] = {n: [] for n in ("dim", "from", "home", "to", *BLOCK_DATA)}
+                for cell, low, high in boxes.get(dim, []):
+                    who = np.flatnonzero(np.maximum(qs, 0) @ high + np.minimum(qs, 0) @ low >= kth) if not large else np.arange(len(names))
+                    if len(who):
+                        values = (dim, row["cell"].as_py(), row["home"].as_py(), cell, names[who], [floors[i] for i in who.tolist()], qs[who].ravel(), large)
+                        for n, v in zip(out, values):
+                            out[n].append(v)
+                yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("dim", pa.int32()), ("from", pa.int32()), ("home", pa.int32()), ("to", pa.int32()), ("names", pa.list_(pa.int64())), ("floors", pa.list_(pa.int64())), ("qs", pa.list_(pa.float64())), ("large", pa.bool_())]))
+
+    return blocks.mapInArrow(run, "dim int, from int, home int, to int, names array<long>, floors array<long>, qs array<double>, large boolean")
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, key: str = "vec_id", value: str = "embedding") -> DataFrame:
@@ -113,40 +281,78 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, key: str = "vec_id
     Vectors that are null or hold null or non-finite components take no part,
     as queries or as candidates, nor do null ids; vectors meet those of their
     own length only.  A query never finds its own id.  Repeated candidate ids
-    count as often as they occur; repeated queries give one result.  Empty
-    tables give an empty result.
+    count as often as they occur; of a repeated query id the least vector asks.
+    Scores are exact; one beyond a long becomes the nearest of plus and minus
+    2**63 - 1 and is ranked as such.  Empty tables give an empty result.
     """
     spark = vectors.sparkSession
 
     def ready(df: DataFrame) -> DataFrame:
         ok = F.forall(value, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-        q = F.transform(value, lambda x: F.floor(x.cast("double") * SCALE).cast("double"))
-        return df.where(F.col(value).isNotNull() & F.col(key).isNotNull() & ok & (F.size(value) > 0)).select(F.col(key).cast("long").alias("vec_id"), q.alias("q"), F.size(value).alias("dim"))
-
-    all_ = ready(vectors)
-    asked = ready(queries).withColumnRenamed("vec_id", "query_id").dropDuplicates(["query_id"])
-    n, m = all_.count(), asked.count()
-    shards, blocks = max(1, -(-n // SHARD)), max(1, -(-m // BLOCK))
-    all_ = all_.withColumn("shard", F.pmod(F.xxhash64("vec_id", "q"), F.lit(shards)).cast("int"))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
-    keys = ["dim", "block", "shard"]
-
-    def meet(asked: DataFrame, where) -> DataFrame:
-        left = asked.withColumn("shard", where)
-        right = all_.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(lambda a, b: _block(a, b, k), "query_id long, vec_id long, score long")
-
-    home = F.pmod(F.col("block"), F.lit(shards))
-    first = stage(meet(asked.withColumn("floor", F.lit(-math.inf)), home), "topk-home")
-    # The k-th score of the home shard, where it has k.
-    kth = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).cast("double").alias("kth"))
-    told = asked.join(kth, "query_id", "left").withColumn("floor", F.coalesce("kth", F.lit(-math.inf))).drop("kth")
-    others = F.explode(F.filter(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: s != home))
-    rest = meet(told, others) if shards > 1 else first.limit(0)
-    from pyspark.sql.window import Window
+        q = F.transform(value, lambda x: _whole(x.cast("double") * SCALE))
+        return df.where(F.col(value).isNotNull() & F.col(key).isNotNull() & ok & (F.size(value) > 0)).select(F.col(key).cast("long").alias("vec_id"), q.alias("q"))
 
+    dim, large = F.size("q"), F.exists("q", lambda x: F.abs(x) > EXACT)
+    points = stage(ready(vectors).groupBy("vec_id", "q").agg(F.count("*").alias("times")).withColumns({"dim": dim, "big": large}), "topk-points")
+    asked = stage(ready(queries).groupBy("vec_id").agg(F.min("q").alias("q")).select(F.col("vec_id").alias("query_id"), "q", dim.alias("dim"), large.alias("large")), "topk-asked")
+    n = points.count()
+    size = min(SHARD[1], max(SHARD[0], n // (2 * parallelism(spark))))
+    lengths = [(r.dim, r.n) for r in points.where("not big").groupBy("dim").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").limit(LENGTHS).collect()]
+    cells: list[tuple[int, Column]] = []
+    for d, many in lengths:
+        depth = min(DEPTH, max(0, int(math.log2(max(1, many / size)))))
+        chosen = F.pmod(F.xxhash64("vec_id", "q"), F.lit(many)) < SAMPLE
+        sample = points.where((F.col("dim") == d) & ~F.col("big") & chosen).select("q").toPandas()["q"].tolist()
+        cells.append((d, cell_of(F.col("q"), *coarse_splits(np.array(sample, dtype=float).reshape(-1, d), depth), depth) if depth else F.lit(0)))
+
+    def dealt(df: DataFrame, apart: Column, name: str, most: int) -> DataFrame:
+        """``cell``, and within it ``name``, so that the rows of each are about ``most``."""
+        cell = F.lit(0)
+        for d, c in cells:
+            cell = F.when((F.col("dim") == d) & ~apart, c).otherwise(cell)
+        df = df.withColumn("cell", cell)
+        known = F.col("dim").isin([d for d, _ in cells]) & ~apart
+        counts = {(r.dim, r.cell): r.n for r in df.where(known).groupBy("dim", "cell").agg(F.count("*").alias("n")).collect()}  # LENGTHS * 2**DEPTH rows at most
+        parts = F.lit(max(1, -(-df.where(~known).count() // most)))
+        for d, _ in cells:
+            of = [max(1, -(-counts.get((d, c), 0) // most)) for c in range(1 << DEPTH)]
+            parts = F.when((F.col("dim") == d) & ~apart, F.array(*map(F.lit, of))[F.col("cell")]).otherwise(parts)
+        return df.withColumn(name, F.pmod(F.xxhash64(*df.columns[:2]), parts).cast("int"))
+
+    shards = dealt(points, F.col("big"), "part", size)
+    built = "dim int, big boolean, cell int, part int, rows long, nodes long, low array<double>, high array<double>, tree binary"
+    trees = stage(shards.groupBy(*SHARD_KEY).applyInArrow(_build, built), "topk-trees")
+    where = trees.select(*SHARD_KEY)
+    copies = max(1, 2 * parallelism(spark) // max(1, where.count()))
+    homes = where.where("not big").groupBy("dim", "cell").agg(F.max("part").alias("last"))
+    placed = stage(dealt(asked, F.col("large"), "block", BLOCK), "topk-placed").withColumn("floor", F.lit(None).cast("long"))
+
+    def homed(blocks: DataFrame) -> DataFrame:
+        return blocks.join(homes, ["dim", "cell"], "left").withColumn("home", F.coalesce(F.pmod("block", F.col("last") + 1), F.lit(-1)).cast("int")).drop("last")
+
+    sent = homed(_blocks(placed)).where("home >= 0").withColumns({"big": F.lit(False), "part": F.col("home")})
+    first = stage(_meet(trees, sent, copies, k), "topk-home")
+    kth = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("kth"))
+    told = placed.join(kth, "query_id", "left").withColumn("floor", F.col("kth")).drop("kth")
+    blocks = stage(homed(_blocks(told)), "topk-blocks")
+    # Boxes of the coarse cells: LENGTHS * 2**DEPTH at most.
+    sides = trees.where(~F.col("big") & F.col("dim").isin([d for d, _ in lengths])).select("dim", "cell", F.posexplode(F.arrays_zip("low", "high")).alias("at", "x"))
+    sides = sides.groupBy("dim", "cell", "at").agg(F.min("x.low").alias("low"), F.max("x.high").alias("high"))
+    boxes: dict[int, list] = {}
+    for r in sides.groupBy("dim", "cell").agg(F.sort_array(F.collect_list(F.struct("at", "low", "high"))).alias("x")).collect():
+        boxes.setdefault(r.dim, []).append((r.cell, np.array([v.low for v in r.x]), np.array([v.high for v in r.x])))
+    opened = _still_open(blocks, boxes).join(where.where("not big").withColumnRenamed("cell", "to"), ["dim", "to"]).where((F.col("to") != F.col("from")) | (F.col("part") != F.col("home")))
+    near = opened.select("dim", "big", F.col("to").alias("cell"), "part", *BLOCK_DATA)
+    rest = where.where(F.col("big") | ~F.col("dim").isin([d for d, _ in lengths])).withColumnRenamed("cell", "to")
+    far = blocks.join(rest, "dim").where(F.col("big") | (F.col("to") != F.col("cell")) | (F.col("part") != F.col("home"))).select("dim", "big", F.col("to").alias("cell"), "part", *BLOCK_DATA)
+    found = first.union(_meet(trees, near.unionByName(far), copies, k))
     by = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return first.union(rest).withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _whole(x: Column) -> Column:
+    """The floor as a double; floor() itself gives a long, too short for large components."""
+    return F.when(F.abs(x) < float(1 << 52), F.floor(x).cast("double")).otherwise(x)
 
 
 def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
