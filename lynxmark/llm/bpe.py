@@ -9,8 +9,9 @@ its last cut point, and each join (the loose end of one chunk and the loose
 start of the next) is repaired by re-encoding it with context from both sides,
 wider and wider, until the library's ids agree with those held on both sides.
 
-Only hashes are shuffled to find what is shared.  Texts move once, to meet the
-shared ids by document.
+Only hashes are shuffled to find what is shared.  Texts move once: one exchange,
+by a hash of id and text, serves both the rows whose chunks are encoded for all
+and the assembly of every row.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .pieces import PieceEncoder, cut_points
-from .runtime import slices, stage, text_bytes
+from .runtime import heavy, once_if_heavy, parts_for, slices, stage, text_bytes, utf8_size
 
 #: Chunks hold about 2**MASK_BITS bytes, at least LEAST; longer than MOST only to reach a character's start.
 MASK_BITS, LEAST, MOST = 10, 128, 16384
@@ -102,7 +103,7 @@ def _inside(data: bytes) -> tuple[int, int]:
 
 
 def chunk_hashes(docs: DataFrame) -> DataFrame:
-    """``(doc_id, chunk)`` for each chunk of each document of ``docs`` (doc_id, text)."""
+    """``(row, chunk)`` for each chunk of each row of ``docs`` (row, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -114,15 +115,14 @@ def chunk_hashes(docs: DataFrame) -> DataFrame:
             owner = np.searchsorted(np.array(starts[1:]), bounds[:-1], side="right")
             keep = np.diff(bounds) > 2 * CONTEXT
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(owner[keep])), pa.array([n for n, k in zip(names, keep.tolist()) if k], pa.binary())], names=["doc_id", "chunk"]
+                [batch.column(0).take(pa.array(owner[keep])), pa.array([n for n, k in zip(names, keep.tolist()) if k], pa.binary())], names=["row", "chunk"]
             )
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, chunk binary")
+    return docs.select("row", "text").mapInArrow(run, "row long, chunk binary")
 
 
 def encode_shared(owned: DataFrame, path: str) -> DataFrame:
-    """``(chunk, ids)`` for the chunks listed in ``wanted`` of each row of ``owned`` (text, wanted); ids as ``id_type``, compressed."""
+    """``(chunk, ids)`` for the chunks listed in ``wanted`` of each row of ``owned`` (text, wanted, and what else it has); ids as ``id_type``, compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -140,30 +140,32 @@ def encode_shared(owned: DataFrame, path: str) -> DataFrame:
             raw = [pack.compress(narrow[a:b].tobytes()) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(raw, pa.binary())], names=["chunk", "ids"])
 
-    return owned.select("text", "wanted").mapInArrow(run, "chunk binary, ids binary")
+    # All columns are read, so that the exchange below is the one that assembly needs too.
+    return owned.select("text", "wanted", *(n for n in owned.columns if n not in ("text", "wanted"))).mapInArrow(run, "chunk binary, ids binary")
 
 
-def repair(tool: PieceEncoder, left: bytes, middle: bytes, right: bytes) -> list[int]:
-    """Ids of ``middle`` between its neighbours: re-encoded with more and more context until both sides agree.
+def repair(tool: PieceEncoder, text: bytes, start: int, end: int) -> list[int] | None:
+    """Ids of ``text[start:end]`` between its neighbours: re-encoded with more and more context until both sides agree.
 
-    ``left`` ends and ``right`` begins at a cut point.  The ids of the context
-    alone must be what the joint encoding begins and ends with.
+    The ids of the context alone must be what the joint encoding begins and ends
+    with.  None where not even the whole text as context brings agreement: a
+    token crosses the join, and the text has to be encoded as one.
     """
     width = CONTEXT
     while True:
-        before, after = _tail(left, width), _head(right, width)
-        whole, a, b = (e.ids for e in tool.tokenizer.encode_batch_fast([(before + middle + after).decode(), before.decode(), after.decode()], add_special_tokens=False))
+        before, after = _tail(text[max(0, start - 2 * width) : start], width), _head(text[end : end + 2 * width], width)
+        if width >= len(text):
+            before, after = text[:start], text[end:]
+        whole, a, b = (e.ids for e in tool.tokenizer.encode_batch_fast([(before + text[start:end] + after).decode(), before.decode(), after.decode()], add_special_tokens=False))
         if whole[: len(a)] == a and whole[len(whole) - len(b) :] == b and len(a) + len(b) <= len(whole):
             return whole[len(a) : len(whole) - len(b)]
-        if width > max(len(left), len(right)):
-            raise ValueError("no agreement at a chunk join")
+        if width >= len(text):
+            return None
         width *= 4
 
 
 def _tail(text: bytes, width: int) -> bytes:
-    """The end of ``text`` from its last cut point that leaves ``width`` bytes, or all of it."""
-    if len(text) <= width:
-        return text
+    """The end of ``text`` from its last cut point that leaves ``width`` bytes; nothing where there is none."""
     for at in range(len(text) - width, 0, -1):
         if text[at] in b" \n" and 0x20 < text[at - 1] < 0x7F:
             return text[at:]
@@ -171,8 +173,6 @@ def _tail(text: bytes, width: int) -> bytes:
 
 
 def _head(text: bytes, width: int) -> bytes:
-    if len(text) <= width:
-        return text
     for at in range(width, len(text)):
         if text[at] in b" \n" and 0x20 < text[at - 1] < 0x7F:
             return text[:at]
@@ -189,7 +189,7 @@ def assemble(rows: DataFrame, path: str, decode: bool = True) -> DataFrame:
             held = [{x["chunk"]: x["ids"] for x in row or ()} for row in batch.column(2).to_pylist()]
             parts: list[bytes] = []  # what is encoded here: whole runs between shared insides
             plan: list[list[tuple[int, object]]] = []
-            seams: list[tuple[bytes, bytes, bytes]] = []
+            seams: list[tuple[bytes, int, int]] = []
             for i, (a, b) in enumerate(zip(starts[:-1], starts[1:])):
                 if not held[i]:
                     plan.append([(0, len(parts))])
@@ -210,13 +210,17 @@ def assemble(rows: DataFrame, path: str, decode: bool = True) -> DataFrame:
                         parts.append(gap)
                     elif gap:
                         steps.append((1, len(seams)))
-                        seams.append((_tail(text[max(0, done - 2 * MOST) : done], CONTEXT), gap, _head(text[c + low : c + high], CONTEXT)))
+                        seams.append((text, done, c + low))
                     steps.append((2, ids))
                     done = c + high
                 steps.append((0, len(parts)))
                 parts.append(text[done:])
                 plan.append(steps)
             joined = _seams(tool, seams)
+            for i, steps in enumerate(plan):
+                if any(kind == 1 and joined[x] is None for kind, x in steps):  # no agreement: this text as one
+                    plan[i] = [(0, len(parts))]
+                    parts.append(data[starts[i] : starts[i + 1]])
             ids, at = tool.encode(b"".join(parts), np.cumsum([0, *map(len, parts)]).tolist())
             if not seams and all(len(p) == 1 for p in plan):
                 flat, ends = ids, at[1:]
@@ -241,19 +245,18 @@ def assemble(rows: DataFrame, path: str, decode: bool = True) -> DataFrame:
     return rows.select("doc_id", "text", "shared").mapInArrow(run, f"doc_id {kind}, ids array<int>" + ", decoded string" * decode)
 
 
-def _seams(tool: PieceEncoder, seams: list[tuple[bytes, bytes, bytes]]) -> list[list[int]]:
-    """Repair joins, equal ones once, together as long as the first width agrees."""
-    distinct = list(dict.fromkeys(seams))
+def _seams(tool: PieceEncoder, seams: list[tuple[bytes, int, int]]) -> list[list[int] | None]:
+    """Repair joins (text, start, end); those alike in the first width's context once and together, the rest with more."""
+    near = [(_tail(t[max(0, a - 2 * CONTEXT) : a], CONTEXT), t[a:b], _head(t[b : b + 2 * CONTEXT], CONTEXT)) for t, a, b in seams]
+    distinct = list(dict.fromkeys(near))
     texts = [t.decode() for a, m, b in distinct for t in (a + m + b, a, b)]
     made = [e.ids for at in range(0, len(texts), 3000) for e in tool.tokenizer.encode_batch_fast(texts[at : at + 3000], add_special_tokens=False)]
-    out = {}
+    agreed = {}
     for k, seam in enumerate(distinct):
         whole, a, b = made[3 * k : 3 * k + 3]
         if len(a) + len(b) <= len(whole) and whole[: len(a)] == a and whole[len(whole) - len(b) :] == b:
-            out[seam] = whole[len(a) : len(whole) - len(b)]
-        else:
-            out[seam] = repair(tool, *seam)
-    return [out[s] for s in seams]
+            agreed[seam] = whole[len(a) : len(whole) - len(b)]
+    return [agreed[n] if n in agreed else repair(tool, *s) for n, s in zip(near, seams)]
 
 
 def decode_ids(ids: pa.Array, path: str) -> pa.Array:
@@ -266,21 +269,29 @@ def decode_ids(ids: pa.Array, path: str) -> pa.Array:
 def encode_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", decode: bool = True) -> DataFrame:
     """``doc_id``, ``ids`` (array of int) and ``decoded`` for every row of ``docs``.
 
-    Null and empty texts give no ids and the empty text.  Repeated ids are
-    served one by one: shared ids are found by a chunk's hash, never by its
-    place.  A null id shares nothing.  An empty table gives an empty result.
+    Null and empty texts give no ids and the empty text.  Repeated and null ids
+    are served like any other: rows are named by a hash of id and text, shared
+    ids are found by a chunk's hash, never by its place.  An empty table gives
+    an empty result.
     """
     spark = docs.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    plain = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    seen = stage(chunk_hashes(plain).groupBy("doc_id", "chunk").agg(F.count("*").alias("times")), "bpe-chunks")
-    shared = stage(seen.groupBy("chunk").agg(F.sum("times").alias("times"), F.min("doc_id").alias("owner")).where("times > 1 and owner is not null"), "bpe-shared")
-    placed = plain.repartition(4 * n, "doc_id")
-    owners = shared.groupBy(F.col("owner").alias("doc_id")).agg(F.collect_list("chunk").alias("wanted"))
-    owned = placed.join(owners.hint("shuffle_hash"), "doc_id")
-    encoded = stage(encode_shared(owned, path).dropDuplicates(["chunk"]), "bpe-encoded")
-    uses = seen.join(encoded, "chunk").groupBy("doc_id").agg(F.collect_list(F.struct("chunk", "ids")).alias("shared"))
-    rows = placed.join(uses.hint("shuffle_hash"), "doc_id", "left")
+    plain = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(key, text).alias("row"))
+    sizes = plain.select("row", utf8_size().alias("size"))
+    repeated = heavy(sizes, "row")
+    parts = parts_for(spark, sizes.agg(F.sum("size")).first()[0])
+    seen = stage(chunk_hashes(plain).groupBy("row", "chunk").agg(F.count("*").alias("times")), "bpe-chunks")
+    shared = stage(seen.groupBy("chunk").agg(F.sum("times").alias("times"), F.min("row").alias("owner")).where("times > 1"), "bpe-shared")
+    # Many rows that repeat both id and text are one until their ids are known.
+    placed = once_if_heavy(plain, "row", repeated).repartition(parts, "row")
+    owners = shared.select(F.col("owner").alias("row"), "chunk").repartition(parts, "row").groupBy("row").agg(F.collect_list("chunk").alias("wanted"))
+    owned = placed.join(owners.hint("shuffle_hash"), "row")
+    encoded = encode_shared(owned, path).dropDuplicates(["chunk"])
+    uses = seen.join(encoded, "chunk").select("row", "chunk", "ids").repartition(parts, "row").groupBy("row").agg(F.collect_list(F.struct("chunk", "ids")).alias("shared"))
+    rows = placed.join(uses.hint("shuffle_hash"), "row", "left")
+    if repeated:
+        copies = sizes.where(F.col("row").isin(repeated)).groupBy("row").agg(F.count("*").cast("int").alias("copies"))
+        rows = rows.join(F.broadcast(copies), "row", "left").withColumn("copies", F.explode(F.sequence(F.lit(1), F.coalesce("copies", F.lit(1)))))
+        rows = rows.repartition(parts)
     return assemble(rows, path, decode).withColumnRenamed("doc_id", key)
 
 

@@ -18,10 +18,12 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .runtime import slices, text_bytes
+from .runtime import free_name, slices, text_bytes
 
 #: Labelled texts of each class that are learnt from (half for the dictionary, half for the curve), and the longest, in bytes.
 SAMPLE, LONGEST = 1500, 1 << 16
+#: Bytes of sampled text of one class that come to the driver.
+SAMPLE_BYTES = 16 << 20
 DICTIONARY, LEVEL = 64 << 10, 3
 
 
@@ -84,10 +86,11 @@ def _dictionary(texts: list[bytes]) -> bytes:
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> Model:
-    """Learn from labelled rows outside the held-out fold: at most ``SAMPLE`` texts of each class, of ``LONGEST`` bytes or fewer.
+    """Learn from labelled rows outside the held-out fold: at most ``SAMPLE`` texts of each class, of ``LONGEST`` bytes or fewer and ``SAMPLE_BYTES`` in all.
 
-    The sample is that of the lowest hashes of the id.  With a class missing the
-    model scores every text with the share of label 1 (0.5 without any label).
+    The sample is that of the lowest hashes of the id; of several labels of one
+    id, any one counts.  Labels other than 0 and 1, null ids and ids without a
+    document teach nothing.  With a class missing the model scores every text with the share of label 1 (0.5 without any label).
     """
     marked = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull() & (fold(key) != 1)).select(F.col(key).alias("id"), F.col(label).cast("int").alias("y")).dropDuplicates(["id"])
     counts = {r.y: r.n for r in marked.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -97,9 +100,17 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         return Model(b"", b"", [], [], [], share)
     order = F.xxhash64(F.col("id"), F.lit(4))
     picked = marked.where("y = 0").orderBy(order).limit(2 * SAMPLE).union(marked.where("y = 1").orderBy(order).limit(2 * SAMPLE))  # bounded by SAMPLE
-    body = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).where(F.octet_length("text") <= LONGEST)
-    rows = body.join(F.broadcast(picked), "id").select("y", "text", order.alias("o"), "id").collect()
-    by = {c: [r.text.encode() for r in sorted((r for r in rows if r.y == c), key=lambda r: (r.o, r.id, r.text))][:SAMPLE] for c in (0, 1)}
+    body = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).where(F.octet_length("text") <= LONGEST).join(F.broadcast(picked), "id")
+    # Of an id that repeats, one text: that of the lowest hash.  First the sizes come, then the texts of those that are used.
+    one = body.groupBy("id").agg(F.min("y").alias("y"), F.min(F.struct(F.xxhash64("text").alias("h"), F.octet_length("text").alias("n"))).alias("x")).select("id", "y", "x.h", "x.n", order.alias("o"))
+    wanted, used = {}, {0: [0, 0], 1: [0, 0]}
+    for r in sorted(one.collect(), key=lambda r: (r.o, r.id)):
+        if used[r.y][0] < SAMPLE and used[r.y][1] + r.n <= SAMPLE_BYTES:
+            used[r.y] = [used[r.y][0] + 1, used[r.y][1] + r.n]
+            wanted[r.id] = r.h
+    rows = body.where(F.col("id").isin(list(wanted)) & F.xxhash64("text").isin(list(set(wanted.values())))).withColumn("h", F.xxhash64("text")).dropDuplicates(["id", "h"]).withColumn("o", order).collect() if wanted else []
+    rows = [r for r in rows if wanted[r.id] == r.h]
+    by = {c: [r.text.encode() for r in sorted((r for r in rows if r.y == c), key=lambda r: (r.o, r.id))] for c in (0, 1)}
     if min(map(len, by.values())) < 4:
         return Model(b"", b"", [], [], [], share)
     half = {c: len(t) // 2 for c, t in by.items()}
@@ -113,18 +124,22 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", keep: list[str] | None = None, out: str = "score") -> DataFrame:
-    """``out``, the score of every text beside ``keep`` (the id if not given).  Null text counts as empty; equal texts score alike."""
+    """``out``, the score of every text beside ``keep`` (the id if not given), which must not have that name.
+
+    Null text counts as empty; equal texts score alike; repeated rows are scored each.
+    """
     names = [key] if keep is None else keep
+    body = free_name(docs, "_text")
     told = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of DICTIONARY bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_text"):
+        for batch in slices(batches, body):
             data, starts = text_bytes(batch.column(0))
             found = told.value.scores([data[a:b] for a, b in zip(starts[:-1], starts[1:])])
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(found, pa.float64())], names=[*names, out])
 
     schema = ", ".join(f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in names)
-    return docs.select(F.col(text).alias("_text"), *names).mapInArrow(run, f"{schema}, `{out}` double")
+    return docs.select(F.col(text).alias(body), *names).mapInArrow(run, f"{schema}, `{out}` double")
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

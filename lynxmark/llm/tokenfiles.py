@@ -3,7 +3,7 @@
 A file holds the documents of one range of ids, ascending::
 
     magic (8 bytes) | dictionary id: SHA-256 (32) | frames | index | footer
-    index: per document  id (8, signed), frame offset (8), ids (4)
+    index: per document  id (8, signed), frame offset (8), ids (4), named (1: the id is real, 0: it is null)
     footer: index offset (8), documents (8), magic (8)
 
 Numbers are little-endian; a frame holds the ids as 16-bit or 32-bit unsigned
@@ -29,12 +29,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import encoder
-from .runtime import shared_path, slices, text_bytes
+from .runtime import parts_for, shared_path, slices, text_bytes, utf8_size
 
 MAGIC = b"LYNXTOK1"
-INDEX = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("ids", "<u4")])
-#: Documents whose id arrays train the dictionary, the dictionary's bytes and the compression level.
-SAMPLE, DICTIONARY, LEVEL = 400, 32 << 10, 3
+INDEX = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("ids", "<u4"), ("named", "u1")])
+#: Documents whose id arrays train the dictionary and the longest of them in bytes, the dictionary's bytes and the compression level.
+SAMPLE, LONGEST, DICTIONARY, LEVEL = 400, 1 << 16, 32 << 10, 3
 END_ID = 2
 
 
@@ -62,22 +62,22 @@ def write_token_files(docs: DataFrame, path: str, folder: str, end_id: int | Non
 
     The manifest has one row per file: ``part``, ``file``, ``documents``, ``ids``,
     ``start`` (ids in all files before).  Documents with a null id come first;
-    ties keep the order of their texts.  Null text counts as empty.  An empty
-    table gives no files.
+    equal ids are in the order of their texts' hashes.  Null text counts as
+    empty.  An empty table gives no files.  The dictionary learns from at most
+    ``SAMPLE`` texts of ``LONGEST`` bytes or fewer, those of the lowest hashes.
     """
     spark = docs.sparkSession
     width = "u4" if encoder(path).tokenizer.get_vocab_size() > 65536 else "u2"
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     # Two hashes choose the sample; only its texts come here, not each task's first rows.
-    keyed = rows.withColumns({"_id": F.xxhash64("doc_id"), "_text": F.xxhash64("text")})
-    chosen = [(r[0], r[1]) for r in keyed.select("_id", "_text").distinct().orderBy("_id", "_text").limit(SAMPLE).collect()]
-    held = keyed.where(F.col("_id").isin([a for a, _ in chosen]) & F.col("_text").isin([b for _, b in chosen])).dropDuplicates(["_id", "_text"]).collect()
-    at = {(r["_id"], r["_text"]): r for r in held}
+    keyed = rows.where(F.octet_length("text") <= LONGEST).select("text", F.xxhash64("doc_id").alias("id_hash"), F.xxhash64("text").alias("text_hash"))
+    chosen = [(r[0], r[1]) for r in keyed.select("id_hash", "text_hash").distinct().orderBy("id_hash", "text_hash").limit(SAMPLE).collect()]
+    held = keyed.where(F.col("id_hash").isin([a for a, _ in chosen]) & F.col("text_hash").isin([b for _, b in chosen])).dropDuplicates(["id_hash", "text_hash"]).collect()
+    at = {(r.id_hash, r.text_hash): r.text.encode() for r in held}
     sample = [at[k] for k in chosen]
-    taught = []
-    for row in sample:
-        data = (row.text or "").encode()
-        taught.append(encoder(path).encode(data, [0, len(data)])[0].astype(f"<{width}").tobytes())
+    ends = np.cumsum([0, *map(len, sample)]).tolist()
+    ids, at_ids = encoder(path).encode(b"".join(sample), ends)
+    taught = [ids[a:b].astype(f"<{width}").tobytes() for a, b in zip(at_ids[:-1].tolist(), at_ids[1:].tolist())]
     dictionary = train_dictionary(taught)
     name = hashlib.sha256(dictionary).digest()
     store, base = _store(folder)
@@ -91,7 +91,7 @@ def write_token_files(docs: DataFrame, path: str, folder: str, end_id: int | Non
         part = TaskContext.get().partitionId()
         tool = encoder(path)
         pack = zstandard.ZstdCompressor(level=LEVEL, write_content_size=True, **_tools(dictionary))
-        out, final, draft, at, index, total = None, "", "", 0, [], 0
+        out, final, draft, at, index, total = None, "", "", 0, [], 0  # index: an array for each batch
         store, base = _store(folder)
         for batch in slices(batches, "text"):
             if out is None:
@@ -103,22 +103,32 @@ def write_token_files(docs: DataFrame, path: str, folder: str, end_id: int | Non
             ids, ends = tool.encode(data, starts)
             ids = ids.astype(f"<{width}")
             tail = np.array([] if end_id is None else [end_id], dtype=f"<{width}").tobytes()
-            for doc, a, b in zip(batch.column(0).to_pylist(), ends[:-1].tolist(), ends[1:].tolist()):
+            part_of = np.zeros(batch.num_rows, dtype=INDEX)
+            part_of["named"] = np.asarray(batch.column(0).is_valid())
+            part_of["doc_id"] = np.asarray(batch.column(0).fill_null(0))
+            part_of["ids"] = np.diff(ends) + (end_id is not None)
+            for k, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())):
                 frame = pack.compress(ids[a:b].tobytes() + tail)
                 out.write(frame)
-                n = b - a + (end_id is not None)
-                index.append((-(1 << 63) if doc is None else doc, at, n))
+                part_of["offset"][k] = at
                 at += len(frame)
-                total += n
+            total += int(part_of["ids"].sum())
+            index.append(part_of)
         if out is None:
             return
-        out.write(np.array(index, dtype=INDEX).tobytes() + struct.pack("<QQ", at, len(index)) + MAGIC)
+        listed = sum(map(len, index))
+        for part_of in index:
+            out.write(part_of.tobytes())
+        out.write(struct.pack("<QQ", at, listed) + MAGIC)
         out.close()
         store.move(draft, final)
-        yield pa.RecordBatch.from_pydict({"part": [part], "file": [final.rpartition("/")[2]], "documents": [len(index)], "ids": [total]}, schema=pa.schema([("part", pa.int32()), ("file", pa.string()), ("documents", pa.int64()), ("ids", pa.int64())]))
+        yield pa.RecordBatch.from_pydict({"part": [part], "file": [final.rpartition("/")[2]], "documents": [listed], "ids": [total]}, schema=pa.schema([("part", pa.int32()), ("file", pa.string()), ("documents", pa.int64()), ("ids", pa.int64())]))
 
-    n = 4 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    ordered = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    # A range is cut within an id, and within rows alike in all, so that one id in many rows doesn't come to one file.
+    parts_wanted = parts_for(spark, rows.agg(F.sum(utf8_size())).first()[0])
+    tie, any_ = F.xxhash64("text"), F.rand(5)
+    spread = rows.withColumns({"tie": tie, "any": any_}).repartitionByRange(parts_wanted, F.col("doc_id").asc_nulls_first(), "tie", "any")
+    ordered = spread.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie", "text").select("doc_id", "text")
     # One row per file comes back; the files are there once this job ends.
     parts = sorted(ordered.mapInArrow(run, "part int, file string, documents long, ids long").collect(), key=lambda r: r.part)
     start, manifest = 0, []
@@ -153,10 +163,10 @@ class TokenFile:
     def ids(self, frame: bytes) -> np.ndarray:
         return np.frombuffer(self.unpack.decompress(frame), dtype=f"<{self.width}")
 
-    def frames(self, step: int = 4 << 20) -> Iterator[tuple[int, np.ndarray]]:
+    def frames(self, step: int = 4 << 20) -> Iterator[tuple[int | None, np.ndarray]]:
         """``(doc_id, ids)`` of all documents, about ``step`` bytes read at a time."""
         bounds = [*self.index["offset"].tolist(), self.end]
-        names, at = self.index["doc_id"].tolist(), 0
+        names, at = [d if n else None for d, n in zip(self.index["doc_id"].tolist(), self.index["named"].tolist())], 0
         while at < len(names):
             to = at + 1
             while to < len(names) and bounds[to + 1] - bounds[at] <= step:
@@ -168,7 +178,8 @@ class TokenFile:
 
     def document(self, doc_id: int) -> np.ndarray | None:
         """Ids of one document by the index; None if it isn't here."""
-        k = int(np.searchsorted(self.index["doc_id"], doc_id))
+        unnamed = len(self.index) - int(self.index["named"].sum())  # these come first
+        k = unnamed + int(np.searchsorted(self.index["doc_id"][unnamed:], doc_id))
         if k == len(self.index) or self.index["doc_id"][k] != doc_id:
             return None
         end = self.index["offset"][k + 1] if k + 1 < len(self.index) else self.end
@@ -184,7 +195,7 @@ def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
             for file, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 names, starts, counts, sums = [], [], [], []
                 for name, ids in TokenFile(folder, file).frames():
-                    names.append(None if name == -(1 << 63) else name)
+                    names.append(name)
                     starts.append(start)
                     counts.append(len(ids))
                     sums.append(zlib.crc32(ids.astype("<u4").tobytes()))
