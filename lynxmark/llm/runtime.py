@@ -94,11 +94,14 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     The exchanges of the write have served once it is done; their files go then,
     not when the driver next collects garbage.
     """
-    spark = df.sparkSession
-    path = shared_path(spark, name)
-    with _freed(spark):
+    path = shared_path(df.sparkSession, name)
+    write(df, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def write(df: DataFrame, path: str) -> None:
+    with _freed(df.sparkSession):
         df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
 
 
 def free_name(df: DataFrame, name: str) -> str:

@@ -7,7 +7,9 @@ The first two links of the chain are the join key: segment i as it is, and
 segment i+1 with at most one bit changed (17 variants on one side, one on the
 other), so that a key holds 32 bits and the number of candidates grows with
 N**2 / 2**32 only.  The join's rows then pass the third link's budget and the
-full Hamming check.  Equal fingerprints are one node from the start.
+full Hamming check.  Equal fingerprints are one node from the start, and a key
+that very many fingerprints hold is collapsed to its smallest before its
+holders meet one another (``links``).
 
 ``similar_classes`` asks for more than 3 bits hold: pairs whose sets of
 shingles have a Jaccard similarity of 0.8 or more lie up to about 20 bits apart,
@@ -27,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected
-from .runtime import slices, stage
+from .runtime import free_name, slices, stage
 
 BITS, SEGMENTS, WIDTH, RADIUS, SEED = 64, 4, 16, 3, 42
 #: Budget of a chain of 1, 2, 3 and 4 segments.
@@ -78,24 +80,44 @@ def _segment(fp: Column, i: int) -> Column:
 
 
 def links(fps: DataFrame) -> DataFrame:
-    """Pairs ``(u, v)``, u < v, of distinct fingerprints within ``RADIUS`` bits; each pair once or more.
+    """Pairs ``(u, v)`` of distinct fingerprints within ``RADIUS`` bits, enough of them to reach all that such pairs reach.
 
-    ``fps`` has distinct longs in ``fp``.
+    ``fps`` has distinct longs in ``fp``.  Fingerprints that share a key may be
+    many (texts that differ by a number).  They first meet the key's smallest
+    only; those that are thereby in its class are not compared with one another
+    again, the others meet every holder of the key.
     """
-    fp = F.col("fp")
     flips = F.array(F.lit(0), *(F.lit(1 << b) for b in range(WIDTH)))
-    exact = F.array(*(F.struct(F.lit(i).alias("i"), _segment(fp, i).alias("a"), _segment(fp, i + 1).alias("b")) for i in range(SEGMENTS)))
-    keyed = fps.select(fp, F.explode(exact).alias("k")).select("fp", "k.*")
-    packed = F.shiftleft(F.col("i").cast("long"), 32).bitwiseOR(F.shiftleft(F.col("a").cast("long"), 16))
-    left = keyed.select(F.col("fp").alias("u"), packed.bitwiseOR(F.col("b")).alias("k"))
-    right = keyed.withColumn("flip", F.explode(flips)).select(F.col("fp").alias("v"), packed.bitwiseOR(F.col("b").bitwiseXOR(F.col("flip"))).alias("k"))
     apart = F.col("u").bitwiseXOR(F.col("v"))
     # The ring turned so that the chain starts at bit 0.
     ring = F.expr("shiftrightunsigned(u ^ v, 16 * cast(shiftright(k, 32) as int)) | shiftleft(u ^ v, (64 - 16 * cast(shiftright(k, 32) as int)) % 64)")
     chain3 = F.bit_count(ring.bitwiseAND(F.lit((1 << (3 * WIDTH)) - 1)))
-    # A merge join: the sizes before the explosion would have either side broadcast.
-    pairs = left.join(right.hint("merge"), "k").where((F.col("u") < F.col("v")) & (chain3 <= BUDGET[2]) & (F.bit_count(apart) <= BUDGET[3]))
-    return pairs.select("u", "v")
+    near = (F.col("u") != F.col("v")) & (chain3 <= BUDGET[2]) & (F.bit_count(apart) <= BUDGET[3])
+
+    def keyed(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Each node under its own keys (u), and under those with one bit of the second link changed (v); with its class, if known."""
+        fp, more = F.col("fp"), [n for n in nodes.columns if n != "fp"]
+        own = F.array(*(F.struct(F.lit(i).alias("i"), _segment(fp, i).alias("a"), _segment(fp, i + 1).alias("b")) for i in range(SEGMENTS)))
+        rows = nodes.select(fp, *more, F.explode(own).alias("x")).select("fp", *more, "x.*")
+        packed = F.shiftleft(F.col("i").cast("long"), 32).bitwiseOR(F.shiftleft(F.col("a").cast("long"), 16))
+        left = rows.select(fp.alias("u"), *(F.col(n).alias(f"{n}_u") for n in more), packed.bitwiseOR(F.col("b")).alias("k"))
+        right = rows.withColumn("flip", F.explode(flips)).select(fp.alias("v"), *(F.col(n).alias(f"{n}_v") for n in more), packed.bitwiseOR(F.col("b").bitwiseXOR(F.col("flip"))).alias("k"))
+        return left, right
+
+    # Merge joins: the sizes before the explosion would have either side broadcast.
+    left, right = keyed(fps)
+    hubs = left.groupBy("k").agg(F.min("u").alias("u"))
+    first = stage(right.join(hubs.hint("merge"), "k").where(near).select("u", "v").distinct(), "simhash-hubs")
+    classes = connected(first)
+    known = stage(fps.join(classes, fps.fp == classes.node, "left").select("fp", F.coalesce("root", "fp").alias("class")), "simhash-known")
+    left, right = keyed(known)
+    main = left.groupBy("k").agg(F.min(F.struct("u", "class_u")).alias("x")).select("k", F.col("x.class_u").alias("main"))
+    left, right = left.join(main.hint("merge"), "k"), right.join(main.hint("merge"), "k")
+    strange = right.where("class_v <> main").drop("main").hint("merge")
+    one = left.drop("main").join(strange, "k")
+    two = left.where("class_u <> main").drop("main").hint("merge").join(right.where("class_v = main").drop("main"), "k")
+    rest = one.unionByName(two).where((F.col("class_u") != F.col("class_v")) & near).select("u", "v")
+    return first.union(rest)
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -228,10 +250,11 @@ def _least(docs: DataFrame, rooted: DataFrame, key: str, text: str) -> DataFrame
     rows = rooted.groupBy("root", "doc_id", "row").agg(F.count("*").alias("n"))
     least = rows.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "row", "n")).alias("one"))
     kept = stage(least.select("one.row", "one.n"), "similar-kept")
-    tagged = docs.withColumn("_row", F.xxhash64(key, text))
-    single = lambda rows: tagged.join(rows.select("row"), F.col("_row") == F.col("row"), "left_semi")
+    tag, held = (free_name(docs, n) for n in ("_row", "_held"))
+    tagged = docs.withColumn(tag, F.xxhash64(key, text))
+    single = lambda rows: tagged.join(rows.select(F.col("row").alias(held)), F.col(tag) == F.col(held), "left_semi")
     if kept.where("n > 1").isEmpty():
         return single(kept).select(*docs.columns)
     # Rows that repeat both id and text: one of them.
-    repeated = single(kept.where("n > 1")).dropDuplicates(["_row"])
+    repeated = single(kept.where("n > 1")).dropDuplicates([tag])
     return single(kept.where("n = 1")).union(repeated).select(*docs.columns)
