@@ -19,7 +19,7 @@ from . import webp
 from .runtime import slices, text_bytes
 
 #: Bytes of text that are encoded, and of media that are decoded, in one step.
-STEP, MEDIA_STEP = 2 << 20, 3 << 20
+STEP, MEDIA_STEP = 1 << 19, 3 << 20
 GRID = 8
 
 

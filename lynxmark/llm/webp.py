@@ -710,28 +710,41 @@ def _transformed(pixels: np.ndarray, image: np.ndarray, first: np.ndarray, heigh
     """
     count = len(heights)
     px = pixels.astype(np.int64)
-    cost = lambda p: sum(_entropy(image, p[:, k], count) for k in range(3))
-    plain = cost(px)
     place = np.arange(len(px)) - first[image]
-    x, y = place % WIDTH, place // WIDTH
-    above, before = px[np.maximum(np.arange(len(px)) - WIDTH, 0)], px[np.maximum(np.arange(len(px)) - 1, 0)]
-    choices = [(plain, None, None)]
-    for mode, guess in ((1, before), (2, above)):
-        guess = np.where((y == 0)[:, None], before, np.where((x == 0)[:, None], above, guess))
-        guess[place == 0] = 0
-        residue = (px - guess) & 255
-        choices.append((cost(residue) + 90, residue, ("predict", mode)))
-    signed = np.where(px > 127, px - 256, px)
-    green = signed[:, 1]
-    mean = lambda v: np.bincount(image, weights=v, minlength=count) / np.bincount(image, minlength=count)
-    spread = np.maximum(mean(green * green) - mean(green) ** 2, 1e-9)
-    slopes = [np.clip(np.round(32 * (mean(green * signed[:, k]) - mean(green) * mean(signed[:, k])) / spread), -128, 127).astype(np.int64) for k in (0, 2)]
-    residue = px.copy()
-    for k, slope in zip((0, 2), slopes):
-        residue[:, k] = (px[:, k] - (slope[image] * green >> 5)) & 255
-    choices.append((cost(residue) + 90, residue, ("colour", 0)))
-    best = np.argmin(np.stack([c[0] for c in choices]), axis=0)
-    best[choices[0][0] <= 1.05 * np.stack([c[0] for c in choices]).min(0) + 64] = 0
+    # Every fourth row tells how well each would do; the whole image is transformed only where one is chosen.
+    seen = np.flatnonzero((place // WIDTH) % 4 == 0)
+    mine = image[seen]
+    scale = heights * WIDTH / np.bincount(mine, minlength=count)
+    cost = lambda p: scale * sum(_entropy(mine, p[:, k], count) for k in range(3))
+
+    def residue(mode: int, where: np.ndarray) -> np.ndarray:
+        """What prediction from the left (1) or from above (2) leaves of the pixels at ``where``."""
+        at = place[where]
+        back = np.where((at < WIDTH) | ((mode == 1) & (at % WIDTH > 0)), 1, WIDTH)
+        guess = px[np.maximum(where - back, 0)]
+        guess[at == 0] = 0
+        return (px[where] - guess) & 255
+
+    few_px = px[seen]
+    plain = cost(few_px)
+    signed = np.where(few_px > 127, few_px - 256, few_px)
+    green, n_of = signed[:, 1], np.bincount(mine, minlength=count)
+    mean = lambda v: np.bincount(mine, weights=v, minlength=count) / n_of
+    middle = mean(green)
+    spread = np.maximum(mean(green * green) - middle**2, 1e-9)
+    slopes = [np.clip(np.round(32 * (mean(green * signed[:, k]) - middle * mean(signed[:, k])) / spread), -128, 127).astype(np.int64) for k in (0, 2)]
+
+    def follow(where: np.ndarray) -> np.ndarray:
+        """Red and blue without what they share with green."""
+        out = px[where]
+        g = np.where(out[:, 1] > 127, out[:, 1] - 256, out[:, 1])
+        for k, slope in zip((0, 2), slopes):
+            out[:, k] = (out[:, k] - (slope[image[where]] * g >> 5)) & 255
+        return out
+
+    costs = np.stack([plain, cost(residue(1, seen)) + 90, cost(residue(2, seen)) + 90, cost(follow(seen)) + 90])
+    best = np.argmin(costs, axis=0)
+    best[plain <= 1.05 * costs.min(0) + 64] = 0
     packed = px[:, 0] << 16 | px[:, 1] << 8 | px[:, 2]
     out = []
     for k, (start, h) in enumerate(zip(first.tolist(), heights.tolist())):
@@ -754,15 +767,16 @@ def _transformed(pixels: np.ndarray, image: np.ndarray, first: np.ndarray, heigh
             coded[:, 1] = index
             out.append((coded, bits, 255, WIDTH >> pack))
             continue
-        kind = choices[best[k]][2]
-        if kind is None:
+        mode = int(best[k])
+        if not mode:
             out.append((px[span], bits, 255, WIDTH))
             continue
+        where = np.arange(start, start + h * WIDTH)
         bits.put(1, 1)
-        bits.put(0 if kind[0] == "predict" else 1, 2)
+        bits.put(0 if mode < 3 else 1, 2)
         bits.put(7, 3)  # one block of 512 x 512
-        _put_pixels(bits, [(0, kind[1], 0) if kind[0] == "predict" else (0, int(slopes[1][k]) & 255, int(slopes[0][k]) & 255)])
-        out.append((choices[best[k]][1][span], bits, 0 if kind[0] == "predict" else 255, WIDTH))
+        _put_pixels(bits, [(0, mode, 0) if mode < 3 else (0, int(slopes[1][k]) & 255, int(slopes[0][k]) & 255)])
+        out.append((residue(mode, where) if mode < 3 else follow(where), bits, 0 if mode < 3 else 255, WIDTH))
     return out
 
 
@@ -889,7 +903,7 @@ def encode_payloads(data: np.ndarray, sizes: np.ndarray) -> list[bytes]:
             listed.append((symbols[a:b], code_lengths(weights[a:b]) if b - a > 1 else [1] * (b - a)))
         lengths[where, symbol] = [x for _, ls in listed for x in ls]
         lane, symbol, wide, code = codebook(lengths)
-        codes, widths = np.zeros(counted.shape, dtype=np.int64), np.zeros(counted.shape, dtype=np.int64)
+        codes, widths = np.zeros(counted.shape, dtype=np.uint16), np.zeros(counted.shape, dtype=np.uint8)
         codes[lane, symbol], widths[lane, symbol] = code, wide
         books.append((listed, codes, widths))
     heads = []
@@ -916,15 +930,19 @@ def encode_payloads(data: np.ndarray, sizes: np.ndarray) -> list[bytes]:
         _put_code(bits_, *books[2][0][k], 40)
         heads.append(bits_)
     # Each pixel that begins a literal, a cache hit or a copy has one value of at most 54 bits.
-    value, wide = books[0][1][image, green], books[0][2][image, green]
+    value, wide = books[0][1][image, green].astype(np.int64), books[0][2][image, green].astype(np.int64)
+    at_lit = np.flatnonzero(lit)
+    own, wide_lit, more = image[at_lit] << 8, wide[at_lit], np.zeros(len(at_lit), dtype=np.int64)
     for k in (0, 2):
-        more = books[1][2][image[lit], rgb[lit, k]]
-        value[lit] |= books[1][1][image[lit], rgb[lit, k]] << wide[lit]
-        wide[lit] += more
+        cell = own | rgb[at_lit, k]
+        more |= books[1][1].ravel()[cell].astype(np.int64) << wide_lit
+        wide_lit += books[1][2].ravel()[cell]
+    value[at_lit] |= more
+    wide[at_lit] = wide_lit
     if len(start):
         of = image[start]
         for more, bits_of in ((size_extra, size_bits), (books[2][1][of, far_prefix], books[2][2][of, far_prefix]), (far_extra, far_bits)):
-            value[start] |= more << wide[start]
+            value[start] |= more.astype(np.int64) << wide[start]
             wide[start] += bits_of
     wide[~token] = 0
     value[~token] = 0
@@ -940,6 +958,9 @@ def encode_payloads(data: np.ndarray, sizes: np.ndarray) -> list[bytes]:
     whole = int(room.sum())
     stream = np.zeros(whole + 8)
     for k in range(8):
+        if k > 4:  # few values are that long
+            long = value >= 1 << 8 * k
+            value, byte = value[long], byte[long]
         stream += np.bincount(byte + k, weights=(value >> (8 * k)) & 255, minlength=whole + 8)[: whole + 8]
     stream = stream.astype(np.uint8)
     for s, h in zip(begin.tolist(), heads):
