@@ -590,6 +590,8 @@ def decode_payloads(media: list[bytes]) -> list[bytes]:
 STEP_LENGTHS = {0: 3, 1: 7, 2: 6, 3: 5, 4: 4, 5: 4, 6: 3, 7: 3, 8: 4, 9: 4, 10: 5, 11: 6, 12: 7, 13: 7, 16: 7, 17: 3, 18: 3}
 STEP_CODES = canonical([STEP_LENGTHS.get(k, 0) for k in range(19)])
 CACHE_BITS, WINDOW, LONGEST = 8, 4, 4096
+#: Bits of a pixel's place in its image.
+PLACE_BITS = (ROWS * WIDTH - 1).bit_length()
 
 
 class Bitstring:
@@ -804,18 +806,21 @@ def _copies(px: np.ndarray, image: np.ndarray, last: np.ndarray, rate: np.ndarra
     n = len(px)
     if n <= WINDOW:
         return [], [], []
-    bits = max(1, int(n).bit_length())
+    # Sorted by image, a hash of the window and the place, each exactly: what is found in an image depends on nothing else.
     mixed = px.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    key = image.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    for k in range(WINDOW):
-        key[: n - WINDOW] ^= np.roll(mixed, -k)[: n - WINDOW] << np.uint64(k) if k else mixed[: n - WINDOW]
-        key *= np.uint64(0xFF51AFD7ED558CCD)
-    ordered = np.sort((key >> np.uint64(bits) << np.uint64(bits)) | np.arange(n, dtype=np.uint64))
-    at = (ordered & np.uint64((1 << bits) - 1)).astype(np.int64)
-    same = (ordered[1:] >> np.uint64(bits)) == (ordered[:-1] >> np.uint64(bits))
+    key = mixed.copy()
+    for k in range(1, WINDOW):
+        key = (key ^ np.roll(mixed, -k) >> np.uint64(k)) * np.uint64(0xFF51AFD7ED558CCD)
+    first = np.concatenate([[0], last[:-1]])
+    place = (np.arange(n) - first[image]).astype(np.uint64)
+    hashed = image.astype(np.uint64) << np.uint64(40 - PLACE_BITS) | key >> np.uint64(24 + PLACE_BITS)
+    ordered = np.sort(hashed << np.uint64(PLACE_BITS) | place)
+    group = ordered >> np.uint64(PLACE_BITS)
+    at = (ordered & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64) + first[(group >> np.uint64(40 - PLACE_BITS)).astype(np.int64)]
+    same = group[1:] == group[:-1]
     far = np.zeros(n, dtype=np.int64)
     far[at[1:][same]] = (at[1:] - at[:-1])[same]
-    far[(np.arange(n) + WINDOW > last[image]) | (image[np.arange(n) - far] != image)] = 0
+    far[np.arange(n) + WINDOW > last[image]] = 0
     ok = np.flatnonzero(far)
     agree = np.ones(len(ok), dtype=bool)
     for k in range(WINDOW):
@@ -870,11 +875,11 @@ def encode_payloads(data: np.ndarray, sizes: np.ndarray) -> list[bytes]:
     free = np.cumsum(covered[:n]) == 0
     # The cache holds, for each hash, the last pixel that had it, however it was coded.
     slot = (0x1E35A7BD * argb & 0xFFFFFFFF) >> (32 - CACHE_BITS)
-    bits = max(1, int(n).bit_length())
-    ordered = np.sort(((image << CACHE_BITS | slot) << bits) | np.arange(n))
-    at = ordered & ((1 << bits) - 1)
+    first = last - counts
+    ordered = np.sort(((image << CACHE_BITS | slot) << PLACE_BITS) | (np.arange(n) - first[image]))
+    at = (ordered & ((1 << PLACE_BITS) - 1)) + first[ordered >> (CACHE_BITS + PLACE_BITS)]
     hit = np.zeros(n, dtype=bool)
-    hit[at[1:]] = ((ordered[1:] >> bits) == (ordered[:-1] >> bits)) & (argb[at[1:]] == argb[at[:-1]])
+    hit[at[1:]] = ((ordered[1:] >> PLACE_BITS) == (ordered[:-1] >> PLACE_BITS)) & (argb[at[1:]] == argb[at[:-1]])
     hit &= free
     alphabet = 280 + (1 << CACHE_BITS)
     lit = free & ~hit

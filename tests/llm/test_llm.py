@@ -92,7 +92,7 @@ def test_links_and_components(spark):
     signed = [f - 2**64 if f >> 63 else f for f in fps]
     links = simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long"))
     want = {frozenset((signed[i], signed[j])) for i in range(len(fps)) for j in range(i) if bin(fps[i] ^ fps[j]).count("1") <= 3}
-    assert {frozenset((r.u, r.v)) for r in links.collect()} == want
+    assert {frozenset((r.u, r.v)) for r in links.collect()} <= want
     got = {r.node: r.root for r in components.connected(links).collect()}
     classes = brute_components(fps)
     least = {}
@@ -224,10 +224,10 @@ def test_media_round_trip(docs):
 
 
 def test_decode_media_reads_all_files_of_a_value(spark):
-    raw = b"".join(b"%07d\n" % k for k in range(13000))  # 104,000 bytes: 542 rows, three files
+    raw = b"".join(b"%07d\n" % k for k in range(13000))  # 104,000 bytes: 542 rows, nine files
     df = spark.createDataFrame([(1, raw.decode()), (2, "short"), (3, None)], "doc_id long, text string")
     stored = media.encode_media(df)
-    assert len(webp.riff_files(stored.where("doc_id = 1").first().media)) == 3
+    assert len(webp.riff_files(stored.where("doc_id = 1").first().media)) == 9
     got = {r.doc_id: r for r in media.decode_media(stored.union(stored.selectExpr("4L", "n_bytes", "CAST(NULL AS BINARY)").limit(1))).collect()}
     assert (got[1].width, got[1].height) == (64, 542) and (got[2].width, got[2].height) == (64, 1)
     pixels = np.frombuffer(bytes(got[1].pixels), dtype=np.uint8).reshape(-1, 4)
@@ -283,6 +283,26 @@ def start(w, h):
     return Writer().put(0x2F, 8).put(w - 1, 14).put(h - 1, 14).put(0, 1).put(0, 3)
 
 
+def predicted(mode, left, top, right, corner):
+    """Each of the 14 predictions, channel by channel, as the format describes them."""
+    half = lambda a, b: [(x + y) // 2 for x, y in zip(a, b)]
+    clamp = lambda v: min(255, max(0, v))
+    if mode == 0:
+        return [0, 0, 0, 255]
+    if mode == 11:
+        full = [a + b - c for a, b, c in zip(left, top, corner)]
+        far_left, far_top = (sum(abs(p - v) for p, v in zip(full, side)) for side in (left, top))
+        return left if far_left < far_top else top
+    if mode == 12:
+        return [clamp(a + b - c) for a, b, c in zip(left, top, corner)]
+    if mode == 13:
+        return [clamp(m + int((m - c) / 2)) for m, c in zip(half(left, top), corner)]
+    return {
+        1: left, 2: top, 3: right, 4: corner, 5: half(half(left, right), top), 6: half(left, corner), 7: half(left, top), 8: half(corner, top), 9: half(top, right),
+        10: half(half(left, corner), half(top, right)),
+    }[mode]
+
+
 @pytest.mark.parametrize("mode", range(14))
 def test_webp_predictor_and_colour_transforms(mode):
     rng = np.random.default_rng(mode)
@@ -302,7 +322,7 @@ def test_webp_predictor_and_colour_transforms(mode):
             elif not x:
                 guess = at(y - 1, 0)
             else:
-                guess = webp._predict(mode, at(y, x - 1), at(y - 1, x), at(y - 1, x + 1), at(y - 1, x - 1))
+                guess = np.array(predicted(mode, *(at(*p).tolist() for p in ((y, x - 1), (y - 1, x), (y - 1, x + 1), (y - 1, x - 1)))))
             res[y, x] = (px[y, x] - guess) & 255
     out = []
     for b, g, r, _ in res.reshape(-1, 4).tolist():
@@ -316,10 +336,50 @@ def test_webp_predictor_and_colour_transforms(mode):
     data = bytearray(s.image(out, True).stream())
     got = webp.decode(bytes(data))
     alpha_free = got[..., :3]
-    if mode != 0:  # alpha residuals are not written here, so only colours are compared
-        assert (alpha_free == want).all()
-    else:
-        assert (alpha_free == want).all()
+    assert (alpha_free == want).all()  # alpha residuals are not written here, so only colours are compared
+
+
+def test_webp_payloads_of_many_kinds():
+    """Text, noise, slopes, few colours and repeats come back byte for byte, alone or with others, whatever the encoder chose."""
+    rng = np.random.default_rng(4)
+    raw = [b"", b"a", b"word " * 9000, bytes(range(256)) * 9, b"ab" * 3000, "é日本 text ".encode() * 300, rng.integers(0, 256, 5000).astype(np.uint8).tobytes(), (np.cumsum(rng.integers(0, 3, 192 * 20)) % 256).astype(np.uint8).tobytes(), np.repeat(rng.integers(0, 256, 640).astype(np.uint8), 3).tobytes()]
+    raw.append(bytes(rng.choice(np.array([10, 200, 77], dtype=np.uint8), 192 * 30)))
+    base = rng.integers(0, 256, 64 * 40)
+    raw.append(np.stack([base, base, (base + rng.integers(0, 2, len(base))) % 256], 1).astype(np.uint8).tobytes())  # red and blue follow green
+    padded = [r.ljust(max(192, -(-len(r) // 192) * 192)) for r in raw]
+    files = webp.encode_payloads(np.frombuffer(b"".join(padded), dtype=np.uint8), np.array([len(p) for p in padded]))
+    assert webp.decode_payloads(files) == padded
+    assert [webp.encode_payloads(np.frombuffer(p, dtype=np.uint8), np.array([len(p)]))[0] for p in padded] == files
+    heads = [webp.Head(s) for f in files for s in webp.riff_files(f)]
+    assert {u[0] for h in heads for u in h.undo} >= {0, 1, 3} and {h.cache for h in heads} == {0, 8}
+    assert sum(map(len, files)) < sum(map(len, padded))
+
+
+def test_every_value_is_read_by_the_general_decoder(docs, monkeypatch):
+    seen = []
+    whole = webp.decode_many
+    monkeypatch.setattr(webp, "decode_many", lambda streams: seen.append(len(streams)) or whole(streams))
+    padded = [b"x y" * 64, b" " * 192]
+    webp.decode_payloads(webp.encode_payloads(np.frombuffer(b"".join(padded), dtype=np.uint8), np.array([192, 192])))
+    assert seen == [2]
+
+
+def test_webp_refuses_broken_streams():
+    file = webp.encode_payloads(np.frombuffer(b"some text to store" * 32, dtype=np.uint8), np.array([576]))[0]
+    stream = webp.riff_files(file)[0]
+    for broken in (stream[: len(stream) // 2], b"\x2e" + stream[1:]):
+        with pytest.raises((ValueError, IndexError)):
+            webp.decode(broken)
+
+
+def test_webp_groups_of_prefix_codes():
+    """An image whose blocks have codes of their own: two groups, each with one colour, in blocks of 4 x 4."""
+    s = start(8, 4).put(0, 1).put(0, 1)  # no transform, no cache
+    s.put(1, 1).put(0, 3).image([(0, 0, 0), (0, 1, 0)], False)
+    for r, g, b in ((9, 8, 7), (1, 2, 3)):
+        s.one(g).one(r).one(b).one(255).put(1, 1).put(0, 3)
+    got = webp.decode(s.stream())
+    assert (got[:, :4, :3] == [9, 8, 7]).all() and (got[:, 4:, :3] == [1, 2, 3]).all()
 
 
 def test_webp_palette_cache_and_back_references():
@@ -426,6 +486,42 @@ def test_secrets_and_ledger(spark, docs, tmp_path):
     assert added.count() == first and added.where("size(rules) > 1").count() == 0
 
 
+def test_a_changed_rule_drops_its_old_findings(spark, tmp_path):
+    text = "ab12" * 6 + " " + "cd34" * 7 + " AKIA" + "Q" * 18
+    df = spark.createDataFrame([(1, text), (2, text), (3, "none")], "doc_id long, text string")
+    ledger, fresh = f"file://{tmp_path}/old", f"file://{tmp_path}/new"
+    old = {r.doc_id: [(s.kind, s.start) for s in r.spans] for r in secrets.scan_secrets(df, ledger).collect()}
+    assert old == {1: [("hex", 0), ("hex", 25), ("access", 54)], 2: [("hex", 0), ("hex", 25), ("access", 54)], 3: []}
+    newer = secrets.RULES[:2] + (secrets.Rule("hex", 2, r"[0-9a-f]{26,}", "", 26),)
+    after = sorted((r.doc_id, r.blob, r.spans) for r in secrets.scan_secrets(df, ledger, newer).collect())
+    assert [(s.kind, s.start, s.rank) for s in after[0][2]] == [("hex", 25, 2), ("access", 54, 1)]
+    assert after == sorted((r.doc_id, r.blob, r.spans) for r in secrets.scan_secrets(df, fresh, newer).collect())
+    rows = secrets.read_ledger(spark, ledger).count()
+    assert after == sorted((r.doc_id, r.blob, r.spans) for r in secrets.scan_secrets(df, ledger, newer).collect())
+    assert secrets.read_ledger(spark, ledger).count() == rows  # nothing was unseen
+
+
+def test_many_secrets_in_one_text(spark, tmp_path):
+    import time
+
+    n = 100_000
+    df = spark.createDataFrame([(1, ("ab12" * 7 + " é ") * n, 0)], "doc_id long, text string, n_chars long")
+    began = time.time()
+    spans = secrets.scan_secrets(df, f"file://{tmp_path}/a").first().spans
+    assert len(spans) == n and (spans[-1].start, spans[-1].end) == (31 * (n - 1), 31 * (n - 1) + 28)
+    assert secrets.redact(df, f"file://{tmp_path}/b").first().text == "[REDACTED] é " * n
+    assert time.time() - began < 60
+
+
+def test_running_sums_in_a_row(spark):
+    for n in (0, 1, 63, 64, 65, 4095, 4097, 9000):
+        xs = [(7 * i) % 13 - 4 for i in range(n)]
+        df = spark.createDataFrame([(xs,)], "xs array<int>")
+        plus, most = df.select(secrets._running(F.col("xs"), secrets._plus), secrets._running(F.col("xs"), secrets._greater)).first()
+        assert plus == [sum(xs[:i]) for i in range(min(n, 200) + 1)] + plus[min(n, 200) + 1 :] and plus[-1] == sum(xs)
+        assert most[-1] == max([0, *xs])
+
+
 def test_redaction(docs, tmp_path):
     got = {r.doc_id: r for r in secrets.redact(docs, f"file://{tmp_path}/r").collect()}
     assert got[9].text == "[REDACTED] [REDACTED] [REDACTED]" and got[9].n_chars == len(got[9].text)
@@ -440,7 +536,7 @@ def test_top_k(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     q = np.floor(64 * x.astype(np.float32).astype(float)).astype(int)
     old = topk.SHARD, topk.BLOCK
-    topk.SHARD, topk.BLOCK = 90, 8
+    topk.SHARD, topk.BLOCK = (40, 90), 8
     try:
         got = topk.top_k(df, df.where("vec_id % 20 = 0")).collect()
     finally:
@@ -451,6 +547,35 @@ def test_top_k(spark):
     assert not [r for r in got if r.query_id >= 400]
 
 
+def test_top_k_edges(spark):
+    """Huge components, repeated ids and rows, other lengths."""
+    import math
+
+    rows = [(i, [float(i % 7), -1.0, float(i % 3)]) for i in range(60)]
+    rows += [(60, [3e38, 3e38, 3e38]), (61, [3e38, -3e38, 1.0]), (80, [3e38, 3e38, 3e38]), (20, [9.0, 9.0, 9.0]), (20, [-9.0, 0.0, 1.0]), (7, [0.0, -1.0, 1.0]), (7, [0.0, -1.0, 1.0]), (100, [1.0, 2.0]), (101, [2.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = topk.top_k(df, df.where("vec_id % 20 = 0"), 10).collect()
+    points = [(i, [math.floor(64 * float(np.float32(v))) for v in e]) for i, e in rows]
+    for query in (0, 20, 40, 60, 80, 100):
+        q = min(e for i, e in points if i == query)
+        want = sorted((-max(-topk.MOST, min(topk.MOST, sum(a * b for a, b in zip(q, e)))), i) for i, e in points if i != query and len(e) == len(q))[:10]
+        assert [(-r.score, r.vec_id) for r in sorted((r for r in got if r.query_id == query), key=lambda r: r.rank)] == want
+
+
+def test_tree_walk_skips_what_cannot_win():
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(16, 8)) * 4000
+    x = np.floor(np.repeat(centres, 256, axis=0) + rng.normal(size=(4096, 8)) * 10)
+    tree = topk.Tree(x, 64)
+    parts = {"vectors": x[tree.order], "ids": tree.order, "times": np.ones(4096, dtype=np.int64), "low": tree.low, "high": tree.high, "kids": tree.kids, "span": tree.span}
+    (row, score, ids, _), opened = topk.search(parts, x[:5], np.arange(5), np.full(5, -np.inf), 20)
+    assert opened < (tree.kids[:, 0] < 0).sum() / 4
+    for q in range(5):
+        s = x @ x[q]
+        want = sorted((-s[j], j) for j in range(4096) if j != q)[:20]
+        assert sorted(zip(-score[row == q], ids[row == q])) == want
+
+
 def test_token_files(spark, docs, tmp_path):
     folder, path = f"file://{tmp_path}/tok", tokenfiles.byte_vocabulary()
     manifest = tokenfiles.write_token_files(docs, path, folder).cache()
@@ -477,12 +602,19 @@ def test_pipeline(spark, tmp_path):
         if k < 4:
             assert after.columns == docs.columns, name
         if k == 1:
-            before = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
-            assert sorted(r.doc_id for r in after.collect()) == sorted(set(before.values()))
-        docs = after
-    path = bpe.word_vocabulary()
-    assert docs.count() > 0 and set(docs.columns) == {"doc_id", "ids", "n_tokens", "decoded_sha256"}
-    del path, tmp_path
+            rows = sorted(docs.collect(), key=lambda r: r.doc_id)
+            assert sorted(r.doc_id for r in after.collect()) == sorted({rows[i].doc_id for i in brute_similar([r.text for r in rows])})
+        if k == 2:
+            for r in after.join(docs.select("doc_id", F.col("text").alias("was")), "doc_id").collect():
+                assert (r.text == r.was) == (not brute_secrets(r.was) and "PRIVATE KEY" not in r.was and "eyJ" not in r.was) and not brute_secrets(r.text)
+        if k == 3:
+            plan = {r.doc_id: r.taken // max(1, r.size) for r in mixing.mix(docs).collect()}
+            assert sorted(r.doc_id for r in after.collect()) == sorted(d for d, n in plan.items() for _ in range(n))
+        before, docs = docs, after
+    tool = tokenizers.Tokenizer.from_file(bpe.word_vocabulary())
+    want = sorted((r.doc_id, tool.encode(r.text or "", add_special_tokens=False).ids) for r in before.collect())
+    assert sorted((r.doc_id, list(r.ids)) for r in docs.collect()) == want and len(want) > 0
+    assert set(docs.columns) == {"doc_id", "ids", "n_tokens", "decoded_sha256"}
 
 
 def test_redaction_of_key_blocks(spark, tmp_path):
