@@ -67,6 +67,26 @@ def chi2_tail_8(x: Column) -> Column:
     return F.exp(-h) * (1 + h + h * h / 2 + h * h * h / 6)
 
 
+def chi2_tail(x: Column, freedom: int, most: float = 600.0) -> Column:
+    """Right tail of chi-square with any degrees of freedom: 1 less the series of the lower incomplete gamma function; 0 beyond ``most``.
+
+    The terms' log-gammas are constants, so that each is one exponential.
+    """
+    a, h = freedom / 2, x / 2
+    terms = F.array(*(F.lit(math.lgamma(a + n + 1)) for n in range(int(most))))
+    log_h = F.log(F.greatest(h, F.lit(1e-300)))
+    lower = F.aggregate(F.transform(terms, lambda g, n: F.exp((a + n) * log_h - h - g)), F.lit(0.0), lambda s, t: s + t)
+    return F.when(x.isNull(), None).when(x <= 0, 1.0).when(x > most, 0.0).otherwise(clamp(1 - lower, 0, 1))
+
+
+def normal_cdf(x: Column) -> Column:
+    """Standard normal distribution function, by its series of odd powers within 8 standard deviations."""
+    half = F.least(F.lit(8.0), F.greatest(F.lit(-8.0), x))
+    step = lambda a, n: F.struct((a["t"] * half * half / (2 * n + 1)).alias("t"), (a["s"] + a["t"]).alias("s"))
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(200)), F.struct(half.cast("double").alias("t"), F.lit(0.0).alias("s")), step)["s"]
+    return clamp(0.5 + series * F.exp(-half * half / 2) / math.sqrt(2 * math.pi), 0, 1)
+
+
 def poisson_tail(k: Column, rate: Column) -> Column:
     """P(X >= k), terms accumulated so that no factorial overflows."""
     term = F.aggregate(
@@ -130,5 +150,5 @@ def band(rank: Column, total: Column) -> Column:
     """Risk band from a rank: top 2, 8, 25, 60 and 100 percent, in whole numbers; each band holds its lower edge."""
     place = (rank - 1) * 100
     return (
-        F.when(place < total * 2, "critical").when(place < total * 8, "high").when(place < total * 25, "elevated").when(place < total * 60, "watch").otherwise("low")
+        F.when(place < total * 2, "critical").when(place < total * 8, "high").when(place < total * 25, "medium").when(place < total * 60, "low").otherwise("minimal")
     )

@@ -11,24 +11,70 @@ from .ranking import with_position
 #: Weights of the dimensions and the model's share in the final score.
 WEIGHTS = {"compliance": 0.35, "financial": 0.29, "evaluation": 0.12, "sentiment": 0.24}
 BLEND = 0.25
-BANDS = ("critical", "high", "elevated", "watch", "low")
-#: Days until due and hours of a visit for each band that is visited.
-WAVES = {"critical": (7, 8.0), "high": (14, 6.0), "elevated": (30, 3.5), "watch": (60, 2.5)}
+BANDS = ("critical", "high", "medium", "low", "minimal")
+#: Days until due and hours of a visit for the bands that have a wave of their own, and for all others.
+WAVES = {"critical": (7, 8.0), "high": (14, 6.0), "medium": (30, 3.5)}
+LAST_WAVE = (60, 2.5)
 #: Weight of a reason of each level in the rule-based review.
 LEVELS = {"critical": 40, "high": 22, "medium": 10, "low": 4}
 
-#: For each dimension, (feature, weight).
+# For each dimension its features, the weight of each, and how the feature becomes a score (factor, then offset).
 DIMENSIONS = {
-    "compliance": (("recency", 0.28), ("decay", 0.18), ("severity", 0.16), ("repeat", 0.12), ("fine", 0.08), ("disposition", 0.11), ("severe", 0.07)),
-    "financial": (("benford", 0.23), ("last_two", 0.11), ("deviation", 0.20), ("round", 0.12), ("yoy", 0.13), ("digits", 0.15), ("anomaly", 0.06)),
-    "evaluation": (("failed", 0.55), ("history", 0.25), ("penalty", 0.20)),
-    "sentiment": (("posts", 0.72), ("burst", 0.16), ("negative", 0.12)),
+    "compliance": (
+        ("pen_decay", 0.28, 100 / 6, 0.0),
+        ("pen_count_1y", 0.18, 35.0, 0.0),
+        ("pen_severe", 0.16, 40.0, 0.0),
+        ("pen_repeat", 0.12, 30.0, 0.0),
+        ("pen_fine_total_log", 0.08, 1 / 3000, 0.0),
+        ("pen_recency", 0.11, 100.0, 0.0),
+        ("pen_disp_sev", 0.07, 50.0, -50.0),
+    ),
+    "financial": (
+        ("dev_max", 0.23, 1.0, 0.0),
+        ("dev_mean", 0.11, 1.0, 0.0),
+        ("last2_score", 0.20, 1.0, 0.0),
+        ("round_score", 0.12, 1.0, 0.0),
+        ("yoy_expense_score", 0.13, 1.0, 0.0),
+        ("anomaly_score", 0.15, 1.0, 0.0),
+        ("first_digit_score", 0.06, 1.0, 0.0),
+    ),
+    "evaluation": (
+        ("eval_penalty", 0.55, 1.0, 0.0),
+        ("eval_items_failed", 0.25, 20.0, 0.0),
+        ("eval_fail_history", 0.20, 45.0, 0.0),
+    ),
+    "sentiment": (
+        ("senti_score", 0.72, 1.0, 0.0),
+        ("senti_burst", 0.16, 1.0, 0.0),
+        ("senti_child_topic", 0.12, 35.0, 0.0),
+    ),
 }
+#: Features that count as 0 (disposition: as 1) where they are missing; others take no part then.
+ZERO = {f for f, *_ in DIMENSIONS["compliance"]} | {"eval_items_failed", "eval_fail_history", "senti_child_topic"}
 
 
 def dimension_score(name: str, features: dict[str, Column]) -> Column:
-    """Weighted mean of the dimension's features that are there, each clamped to 0..100, to two places."""
-    return F.round(weighted_mean((clamp(features[f]), w) for f, w in DIMENSIONS[name] if f in features), 2)
+    """Weighted mean of the dimension's features, each scaled and clamped to 0..100, to two places; 0 where none is there.
+
+    ``pen_fine_total_log`` is the common logarithm of 1 plus the fines and is
+    undone first.  Without financial statements (``fin_available`` is not 1) the
+    financial score is the anomaly score alone.
+    """
+
+    def scaled(feature: str, factor: float, offset: float) -> Column:
+        value = features.get(feature, F.lit(None)).cast("double")
+        if feature in ZERO:
+            value = F.coalesce(value, F.lit(0.0))
+        if feature == "pen_disp_sev":
+            value = F.when(value == 0, 1.0).otherwise(value)
+        if feature == "pen_fine_total_log":
+            value = F.pow(F.lit(10.0), value)
+        return clamp(value * factor + offset)
+
+    score = weighted_mean((scaled(f, factor, offset), w) for f, w, factor, offset in DIMENSIONS[name])
+    if name == "financial":
+        score = F.when(F.coalesce(features.get("fin_available", F.lit(None)).cast("double"), F.lit(0.0)) == 1, score).otherwise(weighted_mean([(scaled("anomaly_score", 1.0, 0.0), 1.0)]))
+    return F.round(score, 2)
 
 
 def rule_score(dims: dict[str, Column], available: dict[str, Column] | None = None, weights: dict[str, float] = WEIGHTS) -> Column:
@@ -70,12 +116,20 @@ def review_level(score: Column, found: Column) -> Column:
 
 
 def schedule(df: DataFrame, capacity: int, start: str, rank: str = "rank") -> DataFrame:
-    """The ``capacity`` first rows with wave, due date and hours; ``df`` has rank and band."""
-    days = F.create_map(*(F.lit(x) for b, (d, _) in WAVES.items() for x in (b, d)))
-    hours = F.create_map(*(F.lit(x) for b, (_, h) in WAVES.items() for x in (b, h)))
-    wave = F.create_map(*(F.lit(x) for k, b in enumerate(WAVES, 1) for x in (b, k)))
-    picked = df.where((F.col(rank) <= capacity) & F.col("band").isin(*WAVES))
-    return picked.withColumn("wave", wave[F.col("band")]).withColumn("due", F.date_add(F.lit(start).cast("date"), days[F.col("band")])).withColumn("hours", hours[F.col("band")])
+    """The ``capacity`` first rows with wave, due date and hours; ``df`` has rank and band.
+
+    Bands without a wave of their own come in the last one.
+    """
+
+    def by_band(value) -> Column:
+        out = F.lit(value(len(WAVES) + 1, *LAST_WAVE))
+        for k, (b, (days, hours)) in enumerate(WAVES.items(), 1):
+            out = F.when(F.col("band") == b, value(k, days, hours)).otherwise(out)
+        return out
+
+    picked = df.where(F.col(rank) <= max(1, capacity))
+    due = F.date_add(F.lit(start).cast("date"), by_band(lambda k, days, hours: days))
+    return picked.withColumn("wave", by_band(lambda k, days, hours: k)).withColumn("due", due).withColumn("hours", by_band(lambda k, days, hours: hours))
 
 
 def routes(df: DataFrame, city: str, district: str, score: str, name: str) -> DataFrame:

@@ -27,7 +27,7 @@ def polarity(text: Column, positive: list[str], negative: dict[str, float]) -> t
 
 
 def negated_sentiment(posts: DataFrame, key: str, text: str, negative: dict[str, float], positive: list[str], degrees: dict[str, float], negations: list[str], reach: int = 3) -> DataFrame:
-    """Lexicon sentiment with context: each negative word is weighed by the strongest degree word in the ``reach`` characters before it, or turns positive at 0.6 after a negation; a positive word's first place counts, or turns negative at 0.8.
+    """Lexicon sentiment with context: each negative word is weighed by the strongest degree word in the ``reach`` characters before it, or turns positive at 0.6 after a negation; so is a positive word's first place, or it turns negative at 0.8.  A degree below 1 weakens nothing.
 
     One row per key: pos, neg, hits.
     """
@@ -45,11 +45,10 @@ def negated_sentiment(posts: DataFrame, key: str, text: str, negative: dict[str,
         no = F.lit(False)
         for n in negations:
             no = no | ahead.contains(n)
-        degree = F.greatest(F.lit(0.0), *(F.when(ahead.contains(d), v).otherwise(0.0) for d, v in degrees.items()), F.lit(0.0))
-        degree = F.when(degree > 0, degree).otherwise(1.0)
+        degree = F.greatest(F.lit(1.0), *(F.when(ahead.contains(d), float(v)).otherwise(1.0) for d, v in degrees.items()), F.lit(1.0))
         flat = F.lit(weight)
         if is_positive:
-            return F.struct(F.when(no, 0.0).otherwise(flat).alias("pos"), F.when(no, flat * 0.8).otherwise(0.0).alias("neg"))
+            return F.struct(F.when(no, 0.0).otherwise(flat * degree).alias("pos"), F.when(no, flat * 0.8).otherwise(0.0).alias("neg"))
         return F.struct(F.when(no, flat * 0.6).otherwise(0.0).alias("pos"), F.when(no, 0.0).otherwise(flat * degree).alias("neg"))
 
     all_ = F.concat(*(parts(w, v, False) for w, v in negative.items()), *(parts(w, 1.0, True) for w in positive))
@@ -59,8 +58,8 @@ def negated_sentiment(posts: DataFrame, key: str, text: str, negative: dict[str,
 
 
 def topic(text: Column, topics: dict[str, tuple[float, list[str]]]) -> Column:
-    """The topic with most matches times severity; the first of equals; null without a match."""
-    scored = F.array(*(F.struct((sum((occurrences(text, w) for w in words), F.lit(0)) * sev).alias("s"), F.lit(-k).alias("k"), F.lit(name).alias("name")) for k, (name, (sev, words)) in enumerate(topics.items())))
+    """The topic with most of its words in the text, each counted once, times severity; the first of equals; null without a match."""
+    scored = F.array(*(F.struct((sum((text.contains(w).cast("int") for w in words), F.lit(0)) * sev).alias("s"), F.lit(-k).alias("k"), F.lit(name).alias("name")) for k, (name, (sev, words)) in enumerate(topics.items())))
     best = F.array_max(scored)
     return F.when(best["s"] > 0, best["name"])
 
@@ -99,11 +98,28 @@ def match_names(names: DataFrame, candidates: DataFrame, name: str, cand_id: str
     return exact.union(single)
 
 
-def nearest_label(rows: DataFrame, text: str, labels: list[str], most: float = 0.45) -> DataFrame:
-    """The label with the smallest edit distance per length, ties by name; null above ``most``.
+def intensity(polarity: Column, severity: Column, credibility: Column) -> Column:
+    """How strongly a negative text warns, 0 to 1: its polarity by the topic's severity and the source's credibility."""
+    return F.when(polarity < 0, F.least(F.lit(1.0), -polarity * (0.45 + 0.25 * severity) * credibility)).otherwise(0.0)
+
 
-    ``labels`` is a short fixed list, unrolled into one expression.
+def nearest_label(rows: DataFrame, text: str, labels: list[str], most: float = 0.45) -> DataFrame:
+    """Adds ``label``, the label that a misread text stands for, and ``ratio``, its edit distance by its length; null where none fits.
+
+    White space is dropped.  A label that is the text or begins it is taken, the
+    first of several.  Of the others those are compared whose last character
+    occurs in the text; the distance is to the text or, where it is longer, to
+    its beginning of the label's length, whichever is less.  The smallest ratio
+    up to ``most`` wins, then the first name.  ``labels`` is a short fixed list,
+    unrolled into one expression.
     """
-    t = F.col(text)
-    scored = F.array(*(F.struct((F.levenshtein(t, F.lit(label)) / float(len(label))).alias("ratio"), F.lit(label).alias("label")) for label in sorted(labels)))
-    return rows.withColumn("_best", F.array_min(scored)).withColumn("label", F.when(F.col("_best.ratio") <= most, F.col("_best.label"))).withColumn("ratio", F.col("_best.ratio")).drop("_best")
+    t = F.regexp_replace(F.col(text), r"\s+", "")
+    begins = F.coalesce(*(F.when(t.startswith(label), F.lit(label)) for label in labels))
+
+    def ratio(label: str) -> Column:
+        whole, front = F.levenshtein(t, F.lit(label)), F.levenshtein(F.substring(t, 1, len(label)), F.lit(label))
+        return F.least(whole, F.when(F.length(t) > len(label), front).otherwise(whole)) / float(len(label))
+
+    scored = F.array(*(F.when(t.contains(label[-1]) & (ratio(label) <= most), F.struct(ratio(label).alias("ratio"), F.lit(label).alias("label"))) for label in labels))
+    best = F.when(F.length(t) > 0, F.array_min(F.array_compact(scored)))
+    return rows.withColumns({"label": F.coalesce(begins, best["label"]), "ratio": F.when(begins.isNotNull(), 0.0).otherwise(best["ratio"])})

@@ -23,11 +23,14 @@ def severity():
 
 
 def past(t: Tables, as_of: str = AS_OF):
-    """Events up to the day ``as_of``, with their age in days: the filter reaches the scan."""
-    return t.events.where(F.col("ts") < F.date_add(F.lit(as_of).cast("date"), 1)).withColumn("age", F.datediff(F.lit(as_of).cast("date"), F.col("ts").cast("date")))
+    """Events up to the day ``as_of``, and those without a date, with their age in days; the filter reaches the scan.
 
+    An event without a date has no age: it is counted among all, in no window.
+    """
+    return t.events.where(F.col("ts").isNull() | (F.col("ts") < F.date_add(F.lit(as_of).cast("date"), 1))).withColumn("age", F.datediff(F.lit(as_of).cast("date"), F.col("ts").cast("date")))
 
-_PAST = f"(SELECT *, datediff('day', CAST(ts AS DATE), DATE '{AS_OF}') AS age FROM events WHERE ts < DATE '{AS_OF}' + INTERVAL 1 DAY)"
+
+_PAST = f"(SELECT *, datediff('day', CAST(ts AS DATE), DATE '{AS_OF}') AS age FROM events WHERE ts IS NULL OR ts < DATE '{AS_OF}' + INTERVAL 1 DAY)"
 
 
 @query(f"""SELECT user_id, count(*) FILTER (age <= 7) AS n_7, count(*) FILTER (age <= 14) AS n_14, count(*) FILTER (age <= 28) AS n_28, round(max(value), 6) AS max_value,
@@ -79,8 +82,7 @@ s AS (SELECT user_id FROM events WHERE CAST(ts AS DATE) > DATE '2024-01-15' AND
 SELECT c_custkey, CAST(e.user_id IS NOT NULL AS INT) AS label, CAST(s.user_id IS NOT NULL AS INT) AS severe FROM customer LEFT JOIN e ON e.user_id = c_custkey LEFT JOIN s ON s.user_id = c_custkey""")
 def label_window(t: Tables):
     start = F.lit("2024-01-15").cast("date")
-    day = F.col("ts").cast("date")
-    window = t.events.where((day > start) & (day <= F.date_add(start, 7)))
+    window = t.events.where((F.col("ts") >= F.date_add(start, 1).cast("timestamp")) & (F.col("ts") < F.date_add(start, 8).cast("timestamp")))
     flags = window.groupBy("user_id").agg(F.max((F.col("event_type") == "purchase").cast("int")).alias("label"), F.max((severity() >= 2.0).cast("int")).alias("severe"))
     joined = t.customer.join(flags, F.col("c_custkey") == F.col("user_id"), "left")
     return joined.select("c_custkey", F.coalesce("label", F.lit(0)).alias("label"), F.coalesce("severe", F.lit(0)).alias("severe"))

@@ -10,7 +10,7 @@ from ..operators import scoring as sc
 from ..operators.ranking import with_midrank, with_position
 from .registry import Tables, query
 
-_BAND = "CASE WHEN (rank - 1) * 100 < total * 2 THEN 'critical' WHEN (rank - 1) * 100 < total * 8 THEN 'high' WHEN (rank - 1) * 100 < total * 25 THEN 'elevated' WHEN (rank - 1) * 100 < total * 60 THEN 'watch' ELSE 'low' END"
+_BAND = "CASE WHEN (rank - 1) * 100 < total * 2 THEN 'critical' WHEN (rank - 1) * 100 < total * 8 THEN 'high' WHEN (rank - 1) * 100 < total * 25 THEN 'medium' WHEN (rank - 1) * 100 < total * 60 THEN 'low' ELSE 'minimal' END"
 
 
 @query("""SELECT c_custkey, round((rank() OVER (ORDER BY c_acctbal) - 1 + 0.5::DOUBLE * count(*) OVER (PARTITION BY c_acctbal)) / count(*) OVER (), 6) AS midrank FROM customer""")
@@ -27,7 +27,7 @@ def band_by_rank(t: Tables):
 @query(f"""WITH r AS (SELECT row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS rank, count(*) OVER () AS total, c_acctbal FROM customer),
 b AS (SELECT {_BAND} AS band, c_acctbal, total FROM r)
 SELECT v.band, count(c_acctbal) AS n, round(100.0::DOUBLE * count(c_acctbal) / (SELECT count(*) FROM customer), 4) AS pct, round(min(c_acctbal), 2) AS low, round(max(c_acctbal), 2) AS high
-FROM (VALUES ('critical'), ('high'), ('elevated'), ('watch'), ('low')) v(band) LEFT JOIN b ON b.band = v.band GROUP BY v.band""")
+FROM (VALUES ('critical'), ('high'), ('medium'), ('low'), ('minimal')) v(band) LEFT JOIN b ON b.band = v.band GROUP BY v.band""")
 def band_summary(t: Tables):
     per = sc.ranked(t.customer.select("c_custkey", "c_acctbal"), "c_acctbal", "c_custkey").groupBy("band").agg(
         F.count("*").alias("n"), F.max("total").alias("total"), F.min("c_acctbal").alias("low"), F.max("c_acctbal").alias("high")
@@ -81,10 +81,11 @@ def route_batches(t: Tables):
     return top.withColumn("max_score", F.round("max_score", 2)).withColumn("mean_score", F.round("mean_score", 4))
 
 
-@query(f"""WITH r AS (SELECT s_suppkey, row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey) AS rank, count(*) OVER () AS total FROM supplier), b AS (SELECT *, {_BAND} AS band FROM r WHERE rank <= 60)
-SELECT s_suppkey, rank, b.band, w.wave, CAST(DATE '2026-09-01' + w.days AS DATE) AS due, w.hours FROM b JOIN (VALUES ('critical', 1, 7, 8.0::DOUBLE), ('high', 2, 14, 6.0), ('elevated', 3, 30, 3.5), ('watch', 4, 60, 2.5)) w(band, wave, days, hours) USING (band)""")
+@query(f"""WITH r AS (SELECT s_suppkey, row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey) AS rank, count(*) OVER () AS total FROM supplier), b AS (SELECT *, {_BAND} AS band FROM r WHERE rank <= 80)
+SELECT s_suppkey, rank, b.band, coalesce(w.wave, 4) AS wave, CAST(DATE '2026-09-01' + coalesce(w.days, 60) AS DATE) AS due, coalesce(w.hours, 2.5::DOUBLE) AS hours
+FROM b LEFT JOIN (VALUES ('critical', 1, 7, 8.0::DOUBLE), ('high', 2, 14, 6.0), ('medium', 3, 30, 3.5)) w(band, wave, days, hours) USING (band)""")
 def wave_schedule(t: Tables):
-    return sc.schedule(sc.ranked(t.supplier.select("s_suppkey", "s_acctbal"), "s_acctbal", "s_suppkey"), 60, "2026-09-01").select("s_suppkey", "rank", "band", "wave", "due", "hours")
+    return sc.schedule(sc.ranked(t.supplier.select("s_suppkey", "s_acctbal"), "s_acctbal", "s_suppkey"), 80, "2026-09-01").select("s_suppkey", "rank", "band", "wave", "due", "hours")
 
 
 @query("""SELECT l_suppkey, CAST(sum(l_quantity) AS DOUBLE) AS quantity, count(*) AS lines FROM lineitem GROUP BY l_suppkey ORDER BY quantity DESC, l_suppkey LIMIT 20""")

@@ -30,14 +30,14 @@ def lexicon_counts(t: Tables):
     return t.documents.select("doc_id", F.round(pos, 4).alias("pos"), F.round(neg, 4).alias("neg"), F.round(pol, 6).alias("polarity"))
 
 
-@query("""WITH w AS (SELECT unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS w FROM documents), g AS (
-SELECT substr(w, CAST(i AS INT), n) AS gram FROM w, (VALUES (3), (4)) k(n), range(1, 200) r(i) WHERE i <= length(w) - n + 1)
-SELECT gram, count(*) AS n FROM g GROUP BY gram HAVING count(*) >= 500""")
+@query("""WITH w AS (SELECT unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS w FROM documents), u AS (SELECT w, count(*) AS c FROM w GROUP BY w),
+g AS (SELECT c, n, w, unnest(range(1, length(w) - n + 2)) AS i FROM u, (VALUES (3), (4)) k(n) WHERE length(w) >= n)
+SELECT substr(w, CAST(i AS INT), n) AS gram, CAST(sum(c) AS BIGINT) AS n FROM g GROUP BY gram HAVING sum(c) >= 3""")
 def ngram_candidates(t: Tables):
-    return texts.char_ngrams(t.documents, "text", least=500)
+    return texts.char_ngrams(t.documents, "text")
 
 
-_TOPIC = ", ".join(f"(({' + '.join(_times(w) for w in words)}) * {sev}::DOUBLE) AS {name}" for name, (sev, words) in TOPICS.items())
+_TOPIC = ", ".join(f"(({' + '.join(f"CAST(contains(t, '{w}') AS INT)" for w in words)}) * {sev}::DOUBLE) AS {name}" for name, (sev, words) in TOPICS.items())
 
 
 @query(f"""WITH c AS (SELECT conv_id, turn, lower(text) AS t FROM conversations), s AS (SELECT conv_id, turn, {_TOPIC} FROM c)
@@ -89,10 +89,14 @@ def canonical_key(t: Tables):
     return joined.select("s_suppkey", stable_id(F.col("n_name"), F.trim(F.regexp_replace("s_name", "[#0 ]+", " "))).alias("key"))
 
 
-_LABELS = ("ECONOMY BRASS", "LARGE STEEL", "PROMO COPPER", "SMALL TIN", "STANDARD NICKEL")
+_LABELS = ("ECONOMYBRASS", "LARGESTEEL", "PROMOCOPPER", "SMALLTIN", "STANDARDNICKEL", "STANDARD", "PROMOTION")
 
 
-@query("WITH s AS (SELECT p_type, l, levenshtein(p_type, l) / length(l)::DOUBLE AS r FROM (SELECT DISTINCT p_type FROM part), (VALUES " + ", ".join(f"('{x}')" for x in _LABELS) + ") v(l)), b AS (SELECT *, row_number() OVER (PARTITION BY p_type ORDER BY r, l) AS rn FROM s) SELECT p_type, CASE WHEN r <= 0.45 THEN l END AS label, round(r, 6) AS ratio FROM b WHERE rn = 1")
+@query(rf"""WITH p AS (SELECT DISTINCT p_type, regexp_replace(p_type, '\s+', '', 'g') AS x FROM part), v AS (SELECT * FROM (VALUES {", ".join(f"({k}, '{x}')" for k, x in enumerate(_LABELS))}) v(k, l)),
+f AS (SELECT p_type, arg_min(l, k) AS l FROM p, v WHERE starts_with(x, l) GROUP BY p_type),
+r AS (SELECT p_type, l, least(levenshtein(x, l), CASE WHEN length(x) > length(l) THEN levenshtein(substr(x, 1, length(l)), l) ELSE levenshtein(x, l) END) / length(l)::DOUBLE AS r FROM p, v WHERE contains(x, right(l, 1)) AND x <> ''),
+b AS (SELECT p_type, l, r FROM r WHERE r <= 0.45 QUALIFY row_number() OVER (PARTITION BY p_type ORDER BY r, l) = 1)
+SELECT p.p_type, coalesce(f.l, b.l) AS label, round(CASE WHEN f.l IS NOT NULL THEN 0 ELSE b.r END, 6) AS ratio FROM p LEFT JOIN f USING (p_type) LEFT JOIN b USING (p_type)""")
 def edit_distance_match(t: Tables):
     return texts.nearest_label(t.part.select("p_type").distinct(), "p_type", list(_LABELS)).withColumn("ratio", F.round("ratio", 6))
 

@@ -7,57 +7,57 @@ import unicodedata
 
 # The names each standard column goes by in published files.
 ALIASES = {
-    "inst_id": "機構代碼 園所代碼 幼兒園代碼 統一編號 id code instid 園所編號 機構統編",
-    "name": "機構名稱 園所名稱 幼兒園名稱 名稱 instname 園名",
-    "city": "縣市 縣市別 所在縣市 city 地區",
-    "district": "鄉鎮市區 區域 行政區 鄉鎮 district",
-    "org_type": "設立類型 園所類型 機構類型 屬性 type orgtype 設立別",
-    "inst_kind": "組織型態 機構型態 機構種類 instkind",
-    "found_year": "設立年 核准設立年 成立年 foundyear 設立日期",
-    "classes": "班級數 核定班數 班數 classes",
-    "approved_capacity": "核定招收人數 核定人數 招收人數 capacity 核定總人數",
-    "enrolled": "實際招收人數 現有幼生數 在園幼生數 招收現況 enrolled 幼生人數",
-    "teacher_count": "教保服務人員數 教師人數 教保員人數 teachers 師資人數",
-    "staff_count": "員工人數 職員人數 總員額 staff",
-    "principal": "負責人 園長 代表人 principal",
-    "address": "地址 機構地址 園所地址 address",
-    "phone": "電話 聯絡電話 phone tel",
-    "penalty_date": "違規日期 裁處日期 處分日期 查獲日期 日期 date",
-    "published_date": "公布日期 公告日期 刊登日期",
-    "category": "違規類別 裁罰類別 事由類別 違反事項 類別",
-    "law_article": "法條 違反法條 違反條款 依據法條",
-    "fine_amount": "罰鍰金額 罰款金額 處分金額 罰鍰 金額",
-    "disposition": "處分內容 處理情形 裁處方式 處分種類",
-    "description": "違規事實 說明 裁罰事由 事實摘要 備註",
-    "eval_year": "評鑑年度 評鑑學年度 年度",
-    "result": "評鑑結果 結果 評鑑等第 等第",
-    "items_failed": "待改善項目數 未通過項目數 缺失項目數",
-    "followup_required": "需追蹤 追蹤複評 是否追蹤",
-    "score": "評鑑分數 分數 得分",
-    "fiscal_year": "會計年度 決算年度 年度 fiscalyear",
-    "students_avg": "平均幼生數 在園人數 幼生數",
-    "revenue_tuition": "學雜費收入 學費收入 家長繳費收入",
-    "revenue_subsidy": "政府補助收入 補助收入 公款補助",
-    "revenue_other": "其他收入 雜項收入",
-    "total_revenue": "收入合計 本期收入 收入總計 歲入合計",
-    "expense_personnel": "人事費 人事支出 薪資支出 用人費用",
-    "expense_teaching": "教學費 教學支出 教材費 業務費",
-    "expense_meal": "餐點費支出 膳食費 食材費",
-    "expense_facility": "設備及維護費 設備費 維護費 資本支出",
-    "expense_rent": "租金支出 房租 租賃費",
-    "expense_admin": "行政管理費 管理費用 辦公費",
-    "expense_other": "其他支出 雜項支出",
-    "total_expense": "支出合計 本期支出 支出總計 歲出合計",
-    "surplus": "賸餘 結餘 本期賸餘 餘絀 本期餘絀",
-    "account": "科目 會計科目 項目 款項 科目名稱",
-    "kind": "收支別 類型 屬性",
-    "amount": "金額 決算數 決算金額 實支數",
-    "period": "期別 分期 季別 月份",
-    "post_id": "貼文編號 編號 id",
-    "source": "來源 平台 資料來源",
-    "post_date": "發文日期 日期 時間 發布日期",
-    "content": "內容 貼文內容 文本 留言 文字",
-    "engagement": "互動數 按讚數 熱度 回覆數",
+    "inst_id": ("機構代碼", "園所代碼", "幼兒園代碼", "統一編號", "id", "code", "instid", "園所編號", "機構統編"),
+    "name": ("機構名稱", "園所名稱", "幼兒園名稱", "名稱", "instname", "園名"),
+    "city": ("縣市", "縣市別", "所在縣市", "city", "地區"),
+    "district": ("鄉鎮市區", "區域", "行政區", "鄉鎮", "district"),
+    "org_type": ("設立類型", "園所類型", "機構類型", "屬性", "type", "orgtype", "設立別"),
+    "inst_kind": ("組織型態", "機構型態", "機構種類", "instkind"),
+    "found_year": ("設立年", "核准設立年", "成立年", "foundyear", "設立日期"),
+    "classes": ("班級數", "核定班數", "班數", "classes"),
+    "approved_capacity": ("核定招收人數", "核定人數", "招收人數", "capacity", "核定總人數"),
+    "enrolled": ("實際招收人數", "現有幼生數", "在園幼生數", "招收現況", "enrolled", "幼生人數"),
+    "teacher_count": ("教保服務人員數", "教師人數", "教保員人數", "teachers", "師資人數"),
+    "staff_count": ("員工人數", "職員人數", "總員額", "staff"),
+    "principal": ("負責人", "園長", "代表人", "principal"),
+    "address": ("地址", "機構地址", "園所地址", "address"),
+    "phone": ("電話", "聯絡電話", "phone", "tel"),
+    "penalty_date": ("違規日期", "裁處日期", "處分日期", "查獲日期", "日期", "date"),
+    "published_date": ("公布日期", "公告日期", "刊登日期"),
+    "category": ("違規類別", "裁罰類別", "事由類別", "違反事項", "類別"),
+    "law_article": ("法條", "違反法條", "違反條款", "依據法條"),
+    "fine_amount": ("罰鍰金額", "罰款金額", "處分金額", "罰鍰", "金額"),
+    "disposition": ("處分內容", "處理情形", "裁處方式", "處分種類"),
+    "description": ("違規事實", "說明", "裁罰事由", "事實摘要", "備註"),
+    "eval_year": ("評鑑年度", "評鑑學年度", "年度"),
+    "result": ("評鑑結果", "結果", "評鑑等第", "等第"),
+    "items_failed": ("待改善項目數", "未通過項目數", "缺失項目數"),
+    "followup_required": ("需追蹤", "追蹤複評", "是否追蹤"),
+    "score": ("評鑑分數", "分數", "得分"),
+    "fiscal_year": ("會計年度", "決算年度", "年度", "fiscalyear"),
+    "students_avg": ("平均幼生數", "在園人數", "幼生數"),
+    "revenue_tuition": ("學雜費收入", "學費收入", "家長繳費收入"),
+    "revenue_subsidy": ("政府補助收入", "補助收入", "公款補助"),
+    "revenue_other": ("其他收入", "雜項收入"),
+    "total_revenue": ("收入合計", "本期收入", "收入總計", "歲入合計"),
+    "expense_personnel": ("人事費", "人事支出", "薪資支出", "用人費用"),
+    "expense_teaching": ("教學費", "教學支出", "教材費", "業務費"),
+    "expense_meal": ("餐點費支出", "膳食費", "食材費"),
+    "expense_facility": ("設備及維護費", "設備費", "維護費", "資本支出"),
+    "expense_rent": ("租金支出", "房租", "租賃費"),
+    "expense_admin": ("行政管理費", "管理費用", "辦公費"),
+    "expense_other": ("其他支出", "雜項支出"),
+    "total_expense": ("支出合計", "本期支出", "支出總計", "歲出合計"),
+    "surplus": ("賸餘", "結餘", "本期賸餘", "餘絀", "本期餘絀"),
+    "account": ("科目", "會計科目", "項目", "款項", "科目名稱"),
+    "kind": ("收支別", "類型", "屬性"),
+    "amount": ("金額", "決算數", "決算金額", "實支數"),
+    "period": ("期別", "分期", "季別", "月份"),
+    "post_id": ("貼文編號", "編號", "id"),
+    "source": ("來源", "平台", "資料來源"),
+    "post_date": ("發文日期", "日期", "時間", "發布日期"),
+    "content": ("內容", "貼文內容", "文本", "留言", "文字"),
+    "engagement": ("互動數", "按讚數", "熱度", "回覆數"),
 }
 # What a file name of each table contains.
 PATTERNS = {
@@ -68,24 +68,22 @@ PATTERNS = {
     "ledger": ("ledger", "科目", "明細"),
     "posts": ("post", "輿情", "社群", "sentiment"),
 }
-_INSTITUTION = "inst_id name city district org_type inst_kind found_year classes approved_capacity enrolled teacher_count staff_count principal address phone"
-_MONEY = "revenue_tuition revenue_subsidy revenue_other total_revenue expense_personnel expense_teaching expense_meal expense_facility expense_rent expense_admin expense_other total_expense surplus"
 COLUMNS = {
-    "institutions": _INSTITUTION,
-    "penalties": "inst_id penalty_date published_date category law_article fine_amount disposition description",
-    "evaluations": "inst_id eval_year result items_failed followup_required score",
-    "financials": f"inst_id fiscal_year students_avg {_MONEY}",
-    "ledger": "inst_id fiscal_year account kind amount period",
-    "posts": "post_id inst_id source post_date content engagement",
+    "institutions": ("inst_id", "name", "city", "district", "org_type", "inst_kind", "found_year", "classes", "approved_capacity", "enrolled", "teacher_count", "staff_count", "principal", "address", "phone"),
+    "penalties": ("inst_id", "penalty_date", "published_date", "category", "law_article", "fine_amount", "disposition", "description"),
+    "evaluations": ("inst_id", "eval_year", "result", "items_failed", "followup_required", "score"),
+    "financials": ("inst_id", "fiscal_year", "students_avg", "revenue_tuition", "revenue_subsidy", "revenue_other", "total_revenue", "expense_personnel", "expense_teaching", "expense_meal", "expense_facility", "expense_rent", "expense_admin", "expense_other", "total_expense", "surplus"),
+    "ledger": ("inst_id", "fiscal_year", "account", "kind", "amount", "period"),
+    "posts": ("post_id", "inst_id", "source", "post_date", "content", "engagement"),
 }
 YEARS = {"fiscal_year", "eval_year", "found_year"}
 DATES = {"penalties": {"penalty_date", "published_date"}, "posts": {"post_date"}}
 FLOATS = {"evaluations": {"score"}}
 WHOLES = {
-    "institutions": set("classes approved_capacity enrolled teacher_count staff_count".split()),
+    "institutions": {"classes", "approved_capacity", "enrolled", "teacher_count", "staff_count"},
     "penalties": {"fine_amount"},
     "evaluations": {"items_failed", "followup_required"},
-    "financials": {"students_avg", *_MONEY.split()},
+    "financials": set(COLUMNS["financials"]) - {"inst_id", "fiscal_year"},
     "ledger": {"amount", "period"},
     "posts": {"engagement"},
 }
@@ -102,7 +100,7 @@ def _index() -> dict[str, str]:
     found: dict[str, str] = {}
     for column, names in ALIASES.items():
         found[plain(column)] = column
-        for name in names.split():
+        for name in names:
             found.setdefault(plain(name), column)
     return found
 

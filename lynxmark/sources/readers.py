@@ -237,7 +237,7 @@ def load_tables(spark: SparkSession, folders: list[str], base: str | None = None
             except Exception as error:  # whatever a file or store may raise becomes a warning, as for a missing file
                 bundle.warnings.append(f"{place}: {str(error)[:200]}")
         else:
-            schema = ", ".join(f"{c} {kind(table, c)}" for c in COLUMNS[table].split())
+            schema = ", ".join(f"{c} {kind(table, c)}" for c in COLUMNS[table])
             bundle.tables[table] = spark.createDataFrame([], schema)
             bundle.warnings.append(f"{table}: not provided")
     return bundle

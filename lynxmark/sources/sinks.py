@@ -48,12 +48,12 @@ def split_rejects(df: DataFrame, reasons: dict[str, Column]) -> tuple[DataFrame,
 
 
 def write_templates(tables: dict[str, DataFrame], folder: str) -> list[str]:
-    """The header and up to 200 rows of each table that has rows, as one CSV file a table with a byte order mark in its first column's name."""
+    """Every row of each table that has rows, as CSV with a header, a byte order mark in its first column's name; one folder a table."""
     done = []
     for name, df in tables.items():
         if not df.isEmpty():
-            marked = df.limit(200).withColumnRenamed(df.columns[0], "﻿" + df.columns[0])
-            marked.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{folder}/{name}")
+            marked = df.withColumnRenamed(df.columns[0], "﻿" + df.columns[0])
+            marked.write.mode("overwrite").option("header", True).csv(f"{folder}/{name}")
             done.append(f"{folder}/{name}")
     return done
 
