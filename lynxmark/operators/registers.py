@@ -116,3 +116,33 @@ def nearest(df: DataFrame, keys: list[str], value: Column, aim: Column, tie: str
     """For each key the row whose value lies nearest to its aim, ties by ``tie``."""
     best = F.min_by(F.struct(*df.columns), F.struct(F.abs(value - aim), F.col(tie)))
     return df.where(value.isNotNull() & aim.isNotNull()).groupBy(*keys).agg(best.alias("_b")).select("_b.*")
+
+
+def first_name_in(texts_: DataFrame, masters: DataFrame, text: str, name: str, key: str, order: str, gram: int = 4) -> DataFrame:
+    """Texts with the ``key`` of the first name, by ``order``, that they contain; null without one.
+
+    A text meets only names whose first ``gram`` characters it holds: an
+    equi-join on character grams of both, no product of the tables.
+    """
+    tagged = texts_.withColumn("_row", F.xxhash64(F.col(text)))
+    bodies = tagged.select("_row", F.col(text).alias("_text")).dropDuplicates(["_row"])
+    at = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("_text") - gram + 1))
+    grams = bodies.select("_row", "_text", F.explode(F.array_distinct(F.transform(at, lambda i: F.substring(F.col("_text"), i, F.lit(gram))))).alias("_gram"))
+    wanted = masters.where(F.length(name) >= gram).select(F.substring(name, 1, gram).alias("_gram"), F.col(name).alias("_name"), F.struct(F.col(order).alias("o"), F.col(key).alias("k")).alias("_key"))
+    found = grams.join(wanted, "_gram").where(F.contains("_text", "_name")).groupBy("_row").agg(F.min("_key").alias("_first"))
+    return tagged.join(found, "_row", "left").withColumn(key, F.col("_first.k")).drop("_row", "_first")
+
+
+def known_or_all(masters: DataFrame, facts: DataFrame, key: str) -> DataFrame:
+    """Masters that occur in the facts; all of them where none does."""
+    hits = masters.join(facts.select(key).distinct(), key, "left_semi")
+    return masters if hits.isEmpty() else hits
+
+
+def settings_of(given: dict, defaults: dict) -> dict:
+    """The defaults with the given values of their own names; names that the defaults don't have are left out, inner dictionaries are merged likewise."""
+    out = {}
+    for name, value in defaults.items():
+        mine = given.get(name, value)
+        out[name] = {**value, **{k: v for k, v in mine.items() if k in value}} if isinstance(value, dict) and isinstance(mine, dict) else mine
+    return out

@@ -50,3 +50,12 @@ def latest_negatives(posts: DataFrame, key: str, tie: str, n: int = 6) -> DataFr
     """The ``n`` latest negative posts of each key (day, then intensity, undated last), cut before the rows of a key meet."""
     order = Window.partitionBy(key).orderBy(F.desc_nulls_last("day"), F.desc_nulls_last("intensity"), tie)
     return posts.where("negative").withColumn("place", F.row_number().over(order)).where(F.col("place") <= n)
+
+
+def post_overview(posts: DataFrame, months: int = 30) -> DataFrame:
+    """``kind, name, total, negative``: posts and negatives of the last ``months`` months, of each source and of all; ``posts`` has day, source and negative."""
+    counts = (F.count("*").alias("total"), F.count_if("negative").alias("negative"))
+    by_month = posts.where("day IS NOT NULL").groupBy(F.date_format("day", "yyyy-MM").alias("name")).agg(*counts).orderBy(F.desc("name")).limit(months)
+    by_source = posts.groupBy(F.coalesce("source", F.lit("其他")).alias("name")).agg(*counts)
+    whole = posts.agg(*counts).select(F.lit("posts").alias("name"), "total", "negative")
+    return by_month.select(F.lit("month").alias("kind"), "*").union(by_source.select(F.lit("source"), "*")).union(whole.select(F.lit("all"), "*"))
