@@ -132,10 +132,14 @@ def schedule(df: DataFrame, capacity: int, start: str, rank: str = "rank") -> Da
     return picked.withColumn("wave", by_band(lambda k, days, hours: k)).withColumn("due", due).withColumn("hours", by_band(lambda k, days, hours: hours))
 
 
-def routes(df: DataFrame, city: str, district: str, score: str, name: str) -> DataFrame:
-    """Visits by place: count, best and mean score, trips saved, members by falling score."""
-    place = [F.coalesce(F.col(c).cast("string"), F.lit("-")).alias(a) for c, a in ((city, "city"), (district, "district"))]
-    per = df.groupBy(*place).agg(
-        F.count("*").alias("visits"), F.max(score).alias("max_score"), F.avg(score).alias("mean_score"), F.sort_array(F.collect_list(F.struct((-F.col(score)).alias("s"), F.col(name).alias("n")))).alias("m")
-    )
-    return per.select("city", "district", "visits", "max_score", "mean_score", F.greatest(F.lit(0), F.col("visits") - 1).cast("long").alias("saved"), F.array_join(F.transform("m", lambda x: x["n"]), ",").alias("members"))
+def routes(df: DataFrame, city: str, district: str, score: str, name: str, most: int = 30) -> DataFrame:
+    """The ``most`` places with most visits, then best score: count, best and mean score, trips saved, members by falling score.
+
+    Members are gathered for those places only.
+    """
+    place = df.select(*(F.coalesce(F.col(c).cast("string"), F.lit("-")).alias(a) for c, a in ((city, "city"), (district, "district"))), F.col(score).alias("_score"), F.col(name).alias("_name"))
+    per = place.groupBy("city", "district").agg(F.count("*").alias("visits"), F.max("_score").alias("max_score"), F.avg("_score").alias("mean_score"), F.greatest(F.lit(0), F.count("*") - 1).cast("long").alias("saved"))
+    top = per.orderBy(F.desc("visits"), F.desc("max_score"), "city", "district").limit(most)
+    # ``most`` rows are broadcast.
+    members = place.join(F.broadcast(top.select("city", "district")), ["city", "district"]).groupBy("city", "district").agg(F.sort_array(F.collect_list(F.struct((-F.col("_score")).alias("s"), F.col("_name").alias("n")))).alias("m"))
+    return top.join(members, ["city", "district"]).withColumn("members", F.array_join(F.transform("m", lambda x: x["n"]), ",")).drop("m")

@@ -1,12 +1,12 @@
-"""Anomaly and model queries; held against plain loops in the tests."""
+"""Anomaly and model queries."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..llm.runtime import stage
 from ..operators import models
 from ..operators.ranking import with_midrank
+from ..operators.staging import stage
 from .registry import Tables, query
 
 

@@ -107,7 +107,14 @@ def source_word_counts(t: Tables):
     return t.conversations.groupBy("role").agg(F.count("*").alias("turns"), F.sum(n).alias("hits"), F.count_if(n > 0).alias("with_hit"))
 
 
-@query()
+@query("""WITH d AS (SELECT conv_id || ':' || turn AS key, lower(text) AS t FROM conversations),
+h AS (SELECT key, substr(t, CAST(greatest(1, i - 3) AS INT), CAST(least(3, i - 1) AS INT)) AS ahead, FALSE AS good FROM (SELECT key, t, unnest(range(1, length(t))) AS i FROM d) WHERE substr(t, CAST(i AS INT), 2) = 'er'
+  UNION ALL SELECT key, substr(t, CAST(greatest(1, instr(t, 'ing') - 3) AS INT), CAST(least(3, instr(t, 'ing') - 1) AS INT)), TRUE FROM d WHERE contains(t, 'ing')),
+w AS (SELECT key, good, contains(ahead, 'in') AS turned, CASE WHEN contains(ahead, 'wh') THEN 1.5::DOUBLE ELSE 1 END AS much FROM h)
+SELECT d.key, round(coalesce(sum(CASE WHEN good AND NOT turned THEN much WHEN NOT good AND turned THEN 0.6::DOUBLE ELSE 0 END), 0), 6) AS pos,
+  round(coalesce(sum(CASE WHEN good AND turned THEN 0.8::DOUBLE WHEN NOT good AND NOT turned THEN much ELSE 0 END), 0), 6) AS neg, CAST(count(good) AS INT) AS hits FROM d LEFT JOIN w USING (key) GROUP BY d.key""")
 def sentiment_context(t: Tables):
-    """Negation and degree in the characters before a word; held against a loop in the tests."""
-    return texts.negated_sentiment(t.conversations.withColumn("t", F.lower("text")).withColumn("key", F.concat_ws(":", "conv_id", "turn")), "key", "t", {"er": 1.0}, ["ing"], {"wh": 1.5}, ["in"])
+    """Negation and degree in the characters before a word."""
+    rows = t.conversations.withColumn("t", F.lower("text")).withColumn("key", F.concat_ws(":", "conv_id", "turn"))
+    made = texts.negated_sentiment(rows, "key", "t", {"er": 1.0}, ["ing"], {"wh": 1.5}, ["in"])
+    return made.select("key", F.round("pos", 6).alias("pos"), F.round("neg", 6).alias("neg"), "hits")
