@@ -52,6 +52,7 @@ TEMPLATES = (
 )
 #: Part of a template's grams that a span must hold, and how far neighbouring diagonals may lie apart.
 COVER, NEIGHBOUR = 0.8, 2
+MOST_WORDS = 65  # the grams that a span holds are bits of a long
 LONG = 6  # words from which a template tolerates gaps
 
 
@@ -61,6 +62,8 @@ def words_of(text: Column) -> Column:
 
 
 def _grams(spark: SparkSession, templates: tuple[Template, ...]) -> DataFrame:
+    if any(len(x.words) < 2 or len(x.words) > MOST_WORDS for x in templates):
+        raise ValueError(f"a template has 2 to {MOST_WORDS} words")
     rows = [(t, p, a, b) for t, x in enumerate(templates) for p, (a, b) in enumerate(zip(x.words, x.words[1:]))]
     made = spark.createDataFrame(rows, "template int, at int, first string, second string")
     return made.withColumn("hash", F.xxhash64("first", "second"))

@@ -458,6 +458,17 @@ def test_license_with_a_lost_word(spark):
     assert got.labels == "mit" and 0.8 <= got.score < 1 and got.n_base == 0
 
 
+def test_templates_have_a_bounded_length(spark):
+    words = " ".join(f"w{k}" for k in range(66))
+    df = spark.createDataFrame([(1, "x " + words[: words.rindex(" ")] + " y")], "doc_id long, text string")
+    for bad in ("one", words):
+        with pytest.raises(ValueError):
+            licenses.scan_licenses(df, (licenses.Template("x", bad),))
+    longest = licenses.Template("longest", words[: words.rindex(" ")])
+    got = licenses.scan_licenses(df, (longest,)).first()
+    assert got.labels == "longest" and got.score == 1.0
+
+
 def brute_secrets(text):
     rules = [
         ("assign", r"((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd])|(?:[Pp][Aa][Ss][Ss][Ww][Dd])|(?:[Ss][Ee][Cc][Rr][Ee][Tt])|(?:[Tt][Oo][Kk][Ee][Nn])|(?:[Aa][Pp][Ii]_?[Kk][Ee][Yy]))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 6),
