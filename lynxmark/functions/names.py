@@ -136,3 +136,37 @@ def cleaned_master(rows: DataFrame) -> DataFrame:
     return rows.withColumns(
         {"name": clean_text(F.col("name")), "address": clean_address(F.col("address")), "district": district(F.col("district"), F.col("address")), "canonical": canonical_name(F.col("name"))}
     )
+
+# How the names of schools end.
+SCHOOLS = (
+    "國民小學", "國民中學", "國民中小學", "實驗小學", "實驗國民中學", "高級中學", "高級中等學校", "高級商工職業學校", "高級工業職業學校", "特殊教育學校", "專科學校", "科技大學", "大學",
+)
+#: Those whose attached kindergartens share the school's row in public accounts.
+ACCOUNTED = tuple(s for s in SCHOOLS if s not in ("專科學校", "科技大學", "大學"))
+CITY = "新北市"
+
+
+def is_childcare(name: Column) -> Column:
+    """Whether a name is of childcare: it says so, or it does not end as a school; an empty name is not."""
+    n = clean_text(name)
+    says, school = F.lit(False), F.lit(False)
+    for word in ENTITIES:
+        says = says | n.contains(word)
+    for word in SCHOOLS:
+        school = school | n.endswith(word)
+    return (n != "") & (says | ~school)
+
+
+def school_core(name: Column) -> Column:
+    """A school's name without city, district, "established" and what is attached, alike for both ways of writing it."""
+    n = F.regexp_replace(F.regexp_replace(name, CITY, ""), r"^[一-鿿]{2,3}區", "")
+    return F.regexp_replace(F.regexp_replace(n, r"^立", ""), rf"(?s){ATTACHED}.*$", "")
+
+
+def school_lookup(institutions: DataFrame, key: str = "inst_id", name: str = "name") -> DataFrame:
+    """``core`` and ``key`` of the kindergartens attached to schools, by the school's core name; of several the last id."""
+    core = school_core(F.col(name))
+    ends = F.lit(False)
+    for word in ACCOUNTED:
+        ends = ends | core.endswith(word)
+    return institutions.where(F.col(name).contains(ATTACHED) & ends).groupBy(core.alias("core")).agg(F.max(key).alias(key))

@@ -173,3 +173,9 @@ def reject_reason(df: DataFrame) -> Column:
         F.abs(surplus - (revenue - expense)) > 0.05 * revenue,
     )
     return F.coalesce(*(F.when(t, F.lit(r)) for t, r in zip(tests, REJECTIONS)))
+
+
+def plausible_totals(revenue: Column, expense: Column, least: float = 500_000, most: float = 3.0) -> Column:
+    """Whether both totals reach ``least`` and neither exceeds the other ``most`` times; a missing one is not plausible."""
+    fits = (revenue >= least) & (expense >= least) & (F.greatest(revenue, expense) <= most * F.least(revenue, expense))
+    return F.coalesce(revenue.isNotNull() & expense.isNotNull() & fits, F.lit(False))

@@ -146,3 +146,24 @@ def settings_of(given: dict, defaults: dict) -> dict:
         mine = given.get(name, value)
         out[name] = {**value, **{k: v for k, v in mine.items() if k in value}} if isinstance(value, dict) and isinstance(mine, dict) else mine
     return out
+
+
+def legacy_merge(master: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """The master with those rows whose key it doesn't have; nothing is updated."""
+    return master.unionByName(rows.join(master.select(key).distinct(), key, "left_anti"), allowMissingColumns=True)
+
+
+def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``column, value, n``: how often each value of each column occurs; a missing one is shown as an empty text."""
+    pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.coalesce(F.col(c).cast("string"), F.lit("")).alias("value")) for c in columns)))
+    return df.select(pairs.alias("x")).groupBy("x.column", "x.value").agg(F.count("*").alias("n"))
+
+
+def boards(df: DataFrame, key: str, most: dict[str, int]) -> DataFrame:
+    """``board, place, key, score``: for each score column its ``most`` highest rows, ties by key; rows without the score take no part."""
+    out = None
+    for column, n in most.items():
+        top = df.where(F.col(column).isNotNull()).select(F.lit(column).alias("board"), F.col(key), F.col(column).cast("double").alias("score")).orderBy(F.desc("score"), key).limit(n)
+        out = top if out is None else out.union(top)
+    place = F.row_number().over(Window.partitionBy("board").orderBy(F.desc("score"), key))  # of the rows shown
+    return out.withColumn("place", place)

@@ -339,3 +339,36 @@ _PLACES = [("新莊", "", "新莊區"), ("新苗區", "", "新莊區"), ("", "
 def districts(t: Tables):
     rows = t.spark.createDataFrame([(k, a, b) for k, (a, b, _) in enumerate(_PLACES)], "k int, text string, address string")
     return rows.select("k", names.district(F.col("text"), F.col("address")).alias("district"))
+
+
+@query("""WITH s AS (SELECT o_custkey, sum(o_totalprice) AS a, sum(o_totalprice) FILTER (o_orderstatus = 'F') AS b FROM orders GROUP BY o_custkey)
+SELECT o_custkey, coalesce(a >= 500000 AND b >= 500000 AND greatest(a, b) <= 3 * least(a, b), FALSE) AND b IS NOT NULL AS plausible FROM s""")
+def plausible_totals(t: Tables):
+    per = t.orders.groupBy("o_custkey").agg(F.sum("o_totalprice").alias("a"), F.sum(F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice"))).alias("b"))
+    return per.select("o_custkey", finance.plausible_totals(F.col("a"), F.col("b")).alias("plausible"))
+
+
+@query("SELECT 'o_orderstatus' AS column, coalesce(o_orderstatus, '') AS value, count(*) AS n FROM orders GROUP BY ALL UNION ALL SELECT 'o_orderpriority', coalesce(o_orderpriority, ''), count(*) FROM orders GROUP BY ALL")
+def value_distribution(t: Tables):
+    return registers.value_counts(t.orders, ["o_orderstatus", "o_orderpriority"])
+
+
+@query(" UNION ALL ".join(f"SELECT * FROM (SELECT '{c}' AS board, s_suppkey, round({x}, 4) AS score, CAST(row_number() OVER (ORDER BY {x} DESC, s_suppkey) AS INT) AS place FROM supplier QUALIFY place <= {n})" for c, x, n in (("balance", "s_acctbal", 20), ("nation", "CAST(s_nationkey AS DOUBLE)", 15))))
+def leaderboards(t: Tables):
+    rows = t.supplier.select("s_suppkey", F.col("s_acctbal").alias("balance"), F.col("s_nationkey").cast("double").alias("nation"))
+    return registers.boards(rows, "s_suppkey", {"balance": 20, "nation": 15}).select("board", "s_suppkey", F.round("score", 4).alias("score"), "place")
+
+
+@query("SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey % 3 <> 0 UNION ALL SELECT s_suppkey, 'late' FROM supplier WHERE s_suppkey % 3 = 0 AND s_suppkey % 2 = 0")
+def legacy_merge(t: Tables):
+    k = F.col("s_suppkey")
+    return registers.legacy_merge(t.supplier.where(k % 3 != 0).select("s_suppkey", "s_name"), t.supplier.where(k % 2 == 0).select("s_suppkey", F.lit("late").alias("s_name")), "s_suppkey")
+
+
+_SCHOOLS = [("新北市萬里區萬里國民小學附設幼兒園", "萬里國民小學", True), ("新北市立三民國民中學附設幼兒園", "三民國民中學", True), ("新北市萬里區萬里國民小學", "萬里國民小學", False), ("新北市安溪非營利幼兒園", "安溪非營利幼兒園", True), ("", "", False)]
+
+
+@query("SELECT n AS name, c AS core, k AS childcare FROM (VALUES " + ", ".join(f"('{n}', '{c}', {k})" for n, c, k in _SCHOOLS) + ") v(n, c, k)")
+def school_names(t: Tables):
+    rows = t.spark.createDataFrame([(n,) for n, _, _ in _SCHOOLS], "name string")
+    return rows.select("name", names.school_core(F.col("name")).alias("core"), names.is_childcare(F.col("name")).alias("childcare"))

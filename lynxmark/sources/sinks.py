@@ -128,3 +128,35 @@ def write_workbook(sheets: dict[str, DataFrame], path: str) -> None:
 def _with_header(df: DataFrame):
     yield df.columns
     yield from df.toLocalIterator()
+
+
+def save_settings(spark, path: str, settings: dict) -> None:
+    """Settings or reports as one JSON file, written beside its place and then renamed."""
+    import json
+    import uuid
+
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    at, draft = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+    fs = at.getFileSystem(conf)
+    stream = fs.create(draft, True)
+    stream.write(bytearray(json.dumps(settings, ensure_ascii=False, indent=1).encode()))
+    stream.close()
+    fs.delete(at, False)
+    fs.rename(draft, at)
+
+
+def load_settings(spark, path: str, defaults: dict) -> dict:
+    """The saved settings over the defaults, of which they can change values only; the defaults where no file is."""
+    import json
+
+    from ..operators.registers import settings_of
+
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return dict(defaults)
+    stream = fs.open(at)
+    try:
+        return settings_of(json.loads(bytes(stream.readAllBytes()).decode()), defaults)
+    finally:
+        stream.close()

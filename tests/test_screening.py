@@ -123,3 +123,17 @@ def test_registers(spark):
     assert registers.relink(facts, master, "name", "inst_id", F.concat(F.lit("N-"), "name"), keep_unnamed=True).count() == 4
     assert registers.missing_tables({"a": master, "b": master.limit(0)}, ("a", "b", "c")) == ["b", "c"]
     assert registers.institution_list(master, sort="name", limit=0).count() == 2
+
+
+def test_school_lookup(spark):
+    rows = spark.createDataFrame([("K1", "新北市萬里區萬里國民小學附設幼兒園"), ("K2", "新北市立三民國民中學附設幼兒園"), ("K3", "新北市安溪非營利幼兒園")], "inst_id string, name string")
+    assert {r.core: r.inst_id for r in names.school_lookup(rows).collect()} == {"萬里國民小學": "K1", "三民國民中學": "K2"}
+
+
+def test_settings(spark, tmp_path):
+    path, defaults = f"file://{tmp_path}/s.json", {"weights": {"a": 1.0, "b": 2.0}, "capacity": 40}
+    assert sinks.load_settings(spark, path, defaults) == defaults
+    sinks.save_settings(spark, path, {"weights": {"a": 5.0, "z": 1.0}, "名": "值"})
+    assert sinks.load_settings(spark, path, defaults) == {"weights": {"a": 5.0, "b": 2.0}, "capacity": 40}
+    sinks.save_settings(spark, path, {"capacity": 7})
+    assert sinks.load_settings(spark, path, defaults)["capacity"] == 7
