@@ -88,3 +88,28 @@ def feed_items(feed: Column, limit: int = 60) -> Column:
     """The first ``limit`` items of an RSS feed: title, link, source, published."""
     item = lambda x: F.struct(*(tag_text(x, n).alias(n) for n in ("title", "link", "source")), feed_date(tag_text(x, "pubDate")).alias("published"))
     return F.transform(F.slice(F.regexp_extract_all(feed, F.lit(r"(?s)<item>(.*?)</item>"), 1), 1, limit), item)
+
+
+def forum_rows(html: Column, this_year: int, base: str = "") -> Column:
+    """Rows of a forum's result page: title, link, engagement, day.  Deleted and untitled ones are left out.
+
+    A page gives month and day only; the year is that of the time in the link,
+    else ``this_year``.  "爆" stands for 100 answers; other marks for none.
+    """
+    text = lambda x: _flat(unescaped(F.regexp_replace(x, "<[^>]+>", "")))
+
+    def row(block: Column) -> Column:
+        title = F.regexp_extract(block, r'(?s)<div class="title">(.*?)</div>', 1)
+        link = F.regexp_extract(title, r'<a href="([^"]+)"', 1)
+        marks = text(F.regexp_extract(block, r'(?s)<div class="nrec">(.*?)</div>', 1))
+        day = text(F.regexp_extract(block, r'(?s)<div class="date">(.*?)</div>', 1))
+        sent = F.regexp_extract(link, r"/M\.(\d{9,11})\.", 1)
+        year = F.coalesce(F.year(F.timestamp_seconds(sent.try_cast("long"))), F.lit(this_year))
+        month, date = F.regexp_extract(day, r"^(\d{1,2})/(\d{1,2})", 1), F.regexp_extract(day, r"^(\d{1,2})/(\d{1,2})", 2)
+        made = F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), F.lpad(month, 2, "0"), F.lpad(date, 2, "0")).try_cast("date")
+        engagement = F.when(marks == "爆", 100).otherwise(F.when(marks.rlike(r"^[0-9]+$"), marks).try_cast("int"))
+        return F.struct(text(title).alias("title"), F.when(link != "", F.concat(F.lit(base), link)).otherwise("").alias("link"), engagement.alias("engagement"), made.alias("day"))
+
+    blocks = F.split(html, '<div class="r-ent">')
+    rows = F.transform(F.slice(blocks, 2, F.greatest(F.size(blocks) - 1, F.lit(1))), row)
+    return F.filter(rows, lambda r: (r["title"] != "") & ~r["title"].contains("本文已被刪除"))

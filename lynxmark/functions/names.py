@@ -170,3 +170,18 @@ def school_lookup(institutions: DataFrame, key: str = "inst_id", name: str = "na
     for word in ACCOUNTED:
         ends = ends | core.endswith(word)
     return institutions.where(F.col(name).contains(ATTACHED) & ends).groupBy(core.alias("core")).agg(F.max(key).alias(key))
+
+
+def search_name(name: Column) -> Column:
+    """What people call a kindergarten: its name without city, founder and "kindergarten"."""
+    bare = F.regexp_replace(F.trim(F.coalesce(name, F.lit(""))), r"^(新北市|臺北市|台北市)", "")
+    return F.trim(F.regexp_replace(F.regexp_replace(bare, r"^(私立|市立|縣立|公立|非營利)", ""), r"(非營利幼兒園|附設幼兒園|幼兒園|幼稚園)$", ""))
+
+
+def search_queries(name: Column, place: Column, elsewhere: str = "新北") -> Column:
+    """Search texts of an institution: its whole name, and its short name with its place where that has two characters or more."""
+    short = search_name(name)
+    near = F.when(F.coalesce(place, F.lit("")) != "", place).otherwise(elsewhere)
+    quoted = lambda x: F.concat(F.lit('"'), x, F.lit('"'))
+    second = F.when(F.length(short) >= 2, F.concat(quoted(F.concat(short, F.lit("幼兒園"))), F.lit(" "), near))
+    return F.array_compact(F.array(quoted(name), second))

@@ -135,3 +135,47 @@ def event_day(text: Column) -> Column:
     y, m, d = (F.regexp_extract(text, r"(\d{2,4})[./年-](\d{1,2})[./月-](\d{1,2})", k) for k in (1, 2, 3))
     year = y.try_cast("int")
     return F.when(y != "", F.concat_ws("-", F.lpad((F.when(year < 1911, year + 1911).otherwise(year)).cast("string"), 4, "0"), F.lpad(m, 2, "0"), F.lpad(d, 2, "0")).try_cast("date"))
+
+
+# How a unit's line names a kindergarten and a school, in scans without spaces.
+UNIT_KINDERGARTEN = r"(136\d{2})\D{0,4}(新北市[\u4e00-\u9fff]{1,12}?幼兒園)"
+UNIT_SCHOOL = (
+    r"(1[3-6]\d{3})\D{0,4}(新北市[\u4e00-\u9fff]{1,20}?(?:高級中等學校|高級商工職業學校|高級工業職業學校|高級中學|特殊教育學校|實驗國民中學|國民中學|實驗小學|國民中小學|國民小學))"
+)
+
+
+def unit_row(line: Column) -> Column:
+    """``kind, name, revenue, expense`` of a line of a table of units, the unit's own code taken off its amounts; null without a unit or two amounts."""
+    closed = F.replace(line, F.lit(" "), F.lit(""))
+    code = lambda pattern: F.regexp_extract(closed, pattern, 1)
+    garden = code(UNIT_KINDERGARTEN) != ""
+    number = F.when(garden, code(UNIT_KINDERGARTEN)).otherwise(code(UNIT_SCHOOL))
+    name = F.when(garden, F.regexp_extract(closed, UNIT_KINDERGARTEN, 2)).otherwise(F.regexp_extract(closed, UNIT_SCHOOL, 2))
+    found = line_amounts(without_stray_slashes(line))
+    leads = F.coalesce(F.try_element_at(found, F.lit(1)) == number.try_cast("double"), F.lit(False))
+    at = lambda k: F.try_element_at(found, F.when(leads, k + 1).otherwise(k))
+    made = F.struct(F.when(garden, "kindergarten").otherwise("school").alias("kind"), name.alias("name"), at(1).alias("revenue"), at(2).alias("expense"))
+    return F.when((number != "") & at(2).isNotNull(), made)
+
+
+def _window(text: Column, start: Column, ends: tuple[str, ...], most: int) -> Column:
+    """The ``most`` characters from ``start`` (from 1), or up to the first of ``ends`` among them."""
+    part = F.substring(text, start, F.lit(most))
+    for end in ends:
+        part = F.substring_index(part, end, 1)
+    return part
+
+
+def headcounts(page: Column) -> Column:
+    """``capacity, enrolled, staff, teachers`` that a page's notes state, each from the window behind its keyword; implausible ones are null."""
+    text = _closed(page)
+    place = lambda word: F.instr(text, word)
+    numbers = lambda part, most: F.filter(line_amounts(part), lambda x: x.between(1, most))
+    first, second = place("核定"), place("招收")
+    near = (first > 0) & (second > 0) & (second - first).between(0, 6)
+    seats = F.when(near, numbers(_window(text, first, ("。", "七﹚", "七)", "七］", "七】"), 40), 2000))
+    staff = F.when(place("員工人數") > 0, numbers(_window(text, place("員工人數"), ("。",), 40), 500))
+    at = lambda x, k: F.try_element_at(x, F.lit(k))
+    capacity, enrolled = at(seats, 1), F.coalesce(at(seats, 2), at(seats, 1))
+    whole = lambda x: x.cast("int")
+    return F.struct(plausible_headcount(capacity).alias("capacity"), plausible_headcount(enrolled, capacity).alias("enrolled"), whole(at(staff, 1)).alias("staff"), whole(at(staff, 2)).alias("teachers"))

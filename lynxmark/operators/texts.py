@@ -19,6 +19,11 @@ def nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
+def normalized(text: Column) -> Column:
+    """NFKC text without web addresses; empty for null."""
+    return F.trim(F.regexp_replace(F.coalesce(nfkc(text), F.lit("")), r"https?://\S+", " "))
+
+
 def polarity(text: Column, positive: list[str], negative: dict[str, float]) -> tuple[Column, Column, Column]:
     """Positive and negative weight and (pos - neg) / (pos + neg); a positive word counts once, a negative word each time."""
     pos = sum((F.when(text.contains(w), 1.0).otherwise(0.0) for w in positive), F.lit(0.0))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from itertools import chain
 from xml.sax.saxutils import escape
 
 from pyspark.sql import Column, DataFrame
@@ -12,6 +13,22 @@ from pyspark.sql import functions as F
 
 from .readers import _fs, exists
 
+# Columns of the risk list and their titles, of its four dimensions, and of the schedule.
+RISK_COLUMNS = {
+    "rank": "風險排名", "inst_id": "機構代碼", "name": "機構名稱", "city": "縣市", "district": "行政區", "org_type": "設立類型", "score": "綜合風險分數", "band_label": "風險等級", "rule_score": "規則分數",
+    "model_score": "模型分數", "anomaly_score": "異常偵測分數", "enrolled": "實際招收", "capacity": "核定人數", "pen_count_4y": "近四年裁罰", "pen_count_1y": "近一年裁罰", "senti_negative": "負面輿情則數",
+    "urgency": "建議處理時效", "mode": "建議稽查模式",
+}
+DIMENSION_TITLES = {"compliance": "法遵風險", "financial": "財務風險", "evaluation": "評鑑風險", "sentiment": "輿情風險"}
+REASONS = "主要風險因子"
+SCHEDULE_COLUMNS = {
+    "wave": "批次", "due": "處理時效", "inst_id": "機構代碼", "name": "機構名稱", "city": "縣市", "district": "行政區", "org_type": "設立類型", "score": "風險分數", "band_label": "風險等級", "mode": "建議稽查模式",
+}
+# Columns that a list of institutions shows.
+LIST_COLUMNS = (
+    "inst_id", "name", "city", "district", "org_type", "inst_kind", "enrolled", "capacity", "teacher_count", "score", "rule_score", "model_score", "anomaly_score",
+    "band", "band_label", "color", "rank", "percentile", "dims", "pen_count_4y", "pen_count_1y", "senti_negative", "burst", "top_reasons", "urgency", "mode",
+)
 #: Rows that a sheet of the format can hold.
 SHEET_ROWS = 1_048_576
 
@@ -73,8 +90,8 @@ def write_json_files(df: DataFrame, path: str, key: str) -> None:
     df.repartition(F.col(key)).withColumn("_key", F.col(key)).write.mode("overwrite").partitionBy("_key").json(path)
 
 
-def write_workbook(sheets: dict[str, DataFrame], path: str) -> None:
-    """An XLSX file with a sheet for each table.  Rows stream through the driver, a partition at a time; more than the format holds is an error."""
+def write_workbook(sheets: dict[str, DataFrame], path: str, ahead: dict[str, list[list]] | None = None) -> None:
+    """An XLSX file with a sheet for each table, below the rows that ``ahead`` gives for it.  Rows stream through the driver, a partition at a time; more than the format holds is an error."""
     if not sheets:
         raise ValueError("a workbook has one sheet at least")
     spark = next(iter(sheets.values())).sparkSession
@@ -106,10 +123,10 @@ def write_workbook(sheets: dict[str, DataFrame], path: str) -> None:
             book.writestr("xl/workbook.xml", f'{top}<workbook xmlns="{main}" xmlns:r="{rel}"><sheets>{listed}</sheets></workbook>')
             links = "".join(f'<Relationship Id="rId{i}" Type="{rel}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in names)
             book.writestr("xl/_rels/workbook.xml.rels", f'{top}<Relationships xmlns="{package}/relationships">{links}</Relationships>')
-            for i, df in zip(names, sheets.values()):
+            for i, (name, df) in zip(names, sheets.items()):
                 with book.open(f"xl/worksheets/sheet{i}.xml", "w") as out:
                     out.write(f'{top}<worksheet xmlns="{main}"><sheetData>'.encode())
-                    for n, row in enumerate(_with_header(df), 1):
+                    for n, row in enumerate(chain((ahead or {}).get(name, []), _with_header(df)), 1):
                         if n > SHEET_ROWS:
                             raise ValueError(f"a sheet holds no more than {SHEET_ROWS} rows")
                         cells = "".join(cell(v).replace("<c", f'<c r="{letters(k)}{n}"', 1) for k, v in enumerate(row))
@@ -160,3 +177,44 @@ def load_settings(spark, path: str, defaults: dict) -> dict:
         return settings_of(json.loads(bytes(stream.readAllBytes()).decode()), defaults)
     finally:
         stream.close()
+
+
+def _titled(df: DataFrame, columns: dict[str, str]) -> list[Column]:
+    """Columns under their titles; one that the table lacks is null."""
+    return [(F.col(c) if c in df.columns else F.lit(None).cast("string")).alias(title) for c, title in columns.items()]
+
+
+def risk_list(rows: DataFrame) -> DataFrame:
+    """The 18 columns of the risk list, the dimensions to two places and the main reasons in one text."""
+    dims = [F.round(F.coalesce(F.col(d).cast("double"), F.lit(0.0)) if d in rows.columns else F.lit(0.0), 2).alias(title) for d, title in DIMENSION_TITLES.items()]
+    return rows.select(*_titled(rows, RISK_COLUMNS), *dims, F.concat_ws("；", "top_reasons").alias(REASONS))
+
+
+def schedule_list(rows: DataFrame) -> DataFrame:
+    return rows.select(*_titled(rows, SCHEDULE_COLUMNS), F.concat_ws("；", "top_reasons").alias(REASONS))
+
+
+def write_risk_workbook(path: str, rows: DataFrame, schedule: DataFrame, efficiency: dict, at_k: DataFrame, measures: dict, importance: DataFrame, stand: str = "") -> None:
+    """Risk list, schedule and validation as a workbook of three sheets.
+
+    ``at_k`` has k, precision, recall and lift; ``importance`` feature, coef and
+    odds_ratio, of which the 25 largest are shown below.  The figures of
+    ``efficiency`` and ``measures`` stand above their tables.
+    """
+    names = ("風險清冊", "稽查排程建議", "模型驗證")
+    pairs = lambda d: [[k, v] for k, v in d.items()]
+    order = lambda df, c: df.orderBy(c) if c in df.columns else df
+    shown = at_k.orderBy("k").select(F.col("k").cast("string").alias("K"), *(F.col(c).cast("double").alias(title) for c, title in (("precision", "Precision@K"), ("recall", "Recall@K"), ("lift", "Lift"))))
+    # 25 rows.
+    top = [["特徵", "係數", "勝算比"], *([r.feature, r.coef, r.odds_ratio] for r in importance.orderBy(F.desc(F.abs("coef")), "feature").limit(25).collect()), []]
+    write_workbook(
+        {names[0]: risk_list(order(rows, "rank")), names[1]: schedule_list(order(schedule, "rank")), names[2]: shown}, path,
+        {names[0]: [["教保機構風險預警清冊"], [stand], []], names[1]: [["稽查資源配置建議"], [], *pairs(efficiency), []], names[2]: [["模型驗證與有效性指標"], [], *pairs(measures), [], *top]},
+    )
+
+
+def write_static(folder: str, endpoints: dict[str, DataFrame], rows: DataFrame, details: DataFrame, key: str = "inst_id") -> None:
+    """What pages without a server read: JSON lines of each endpoint, the list of institutions with its own columns only, and a folder for the details of each institution."""
+    for name, df in {**endpoints, "institutions": rows.select(*(c for c in LIST_COLUMNS if c in rows.columns))}.items():
+        df.write.mode("overwrite").json(f"{folder}/{name}")
+    write_json_files(details, f"{folder}/institution", key)
