@@ -19,16 +19,69 @@ from pyspark.sql.window import Window
 TREES, SAMPLE, FOREST_SEED = 120, 256, 7
 NEIGHBOURS, REFERENCE, KNN_SEED = 8, 900, 11
 MAD_SCALE = 1.4826
+#: Bins of a pass that looks for a median.
+BINS = 64
+
+
+def _histogram(df: DataFrame, names: list[str], brackets: list[tuple[int, float, float]]) -> dict[tuple[int, int], tuple[int, float, float]]:
+    """Count, least and greatest value of each bin of each bracket (column, low, high); at most ``BINS`` + 1 rows a bracket come to the driver."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for k, (i, low, high) in enumerate(brackets):
+                x = batch.iloc[:, i].to_numpy(dtype=np.float64, na_value=np.nan)
+                x = np.sort(x[np.isfinite(x) & (x >= low) & (x <= high)])
+                whole = np.isinf(low)
+                place = np.zeros(len(x), dtype=np.int64) if whole else ((x / 2 - low / 2) / (high / 2 - low / 2) * BINS).astype(np.int64)
+                bins, at, n = np.unique(place, return_index=True, return_counts=True)
+                rows.append(pd.DataFrame({"k": k, "bin": bins, "n": n, "low": x[at], "high": x[at + n - 1]}))
+            yield pd.concat(rows)
+
+    made = df.select(*(F.col(n).cast("double").alias(n) for n in names)).mapInPandas(run, "k int, bin long, n long, low double, high double")
+    return {(r.k, r.bin): (r.n, r.low, r.high) for r in made.groupBy("k", "bin").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).collect()}
+
+
+def medians(df: DataFrame, names: list[str]) -> dict[str, float | None]:
+    """The exact median of each column; nulls and values that are not finite don't count, a column without others has None.
+
+    No task holds a column's values: each pass counts them in the bins of a
+    bracket, which then shrinks to the bin that the middle lies in, until that
+    bin holds one value.  A pass divides a bracket by ``BINS``, so that few are
+    needed whatever the number of rows.
+    """
+    ends = _histogram(df, names, [(i, -math.inf, math.inf) for i in range(len(names))])
+    # Per column and wanted place: the place within the bracket, and the bracket.
+    open_ = {(i, place): (place, low, high) for (i, _), (n, low, high) in ends.items() for place in {(n - 1) // 2, n // 2}}
+    found: dict[int, list[float]] = {}
+    while open_:
+        for (i, _), (_, low, high) in open_.items():
+            if low == high:
+                found.setdefault(i, []).append(low)
+        open_ = {key: x for key, x in open_.items() if x[1] != x[2]}
+        brackets = sorted({(i, low, high) for (i, _), (_, low, high) in open_.items()})
+        bins = _histogram(df, names, brackets) if brackets else {}
+        of: dict[int, list] = {}
+        for (k, b), x in sorted(bins.items()):
+            of.setdefault(k, []).append(x)
+        for (i, place), (inside, low, high) in list(open_.items()):
+            for n, least, most in of[brackets.index((i, low, high))]:
+                if inside < n:
+                    open_[i, place] = (inside, least, most)
+                    break
+                inside -= n
+    return {name: (min(found[i]) / 2 + max(found[i]) / 2 if i in found else None) for i, name in enumerate(names)}
 
 
 def standardise(df: DataFrame, names: list[str], limit: float = 5.0) -> DataFrame:
     """Each column as (x - median) / (MAD, else standard deviation, else 1), nulls as the median, clipped."""
-    meds = df.agg(*(F.percentile(F.col(n), 0.5).alias(n) for n in names), *(F.stddev_samp(n).alias(f"{n}_sd") for n in names)).first()
-    mids = {n: meds[n] if meds[n] is not None else 0.0 for n in names}
-    mads = df.agg(*((F.percentile(F.abs(F.col(n) - mids[n]), 0.5) * MAD_SCALE).alias(n) for n in names)).first()
+    mids = {n: m if m is not None else 0.0 for n, m in medians(df, names).items()}
+    mads = medians(df.select(*(F.abs(F.col(n) - mids[n]).alias(n) for n in names)), names)
+    still = [n for n in names if not mads[n]]
+    sds = df.agg(*(F.stddev_samp(n).alias(n) for n in still)).first().asDict() if still else {}
     out = {}
     for n in names:
-        scale = mads[n] or meds[f"{n}_sd"] or 1.0
+        scale = (mads[n] or 0.0) * MAD_SCALE or sds[n] or 1.0
         z = (F.coalesce(F.col(n), F.lit(mids[n])) - mids[n]) / scale
         out[n] = F.greatest(F.lit(-limit), F.least(F.lit(limit), z))
     return df.withColumns(out)

@@ -1,11 +1,12 @@
 """Evidence, reviews, keywords, forum rows, unit rows, notes, workbook and static files."""
 
+import statistics
 import zipfile
 
 from pyspark.sql import functions as F
 
 from lynxmark.functions import markup, names, statements
-from lynxmark.operators import evidence, keywords, texts, validation
+from lynxmark.operators import evidence, keywords, models, texts, validation
 from lynxmark.sources import sinks
 
 
@@ -100,3 +101,15 @@ def test_workbook_and_static_files(spark, tmp_path):
     sinks.write_static(str(tmp_path / "web"), {"summary": at_k}, rows, rows.select("inst_id", "score"))
     assert set(spark.read.json(f"{tmp_path}/web/institutions").columns) == {"inst_id", "name", "rank", "score", "top_reasons"}
     assert spark.read.json(f"{tmp_path}/web/institution").count() == 2
+
+
+def test_exact_medians(spark):
+    wide = [(float(i * 37 % 101), None if i % 3 else i / 7, 1e308 if i % 2 else -1e308, 5.0, float("nan")) for i in range(200)]
+    names_ = ["a", "b", "c", "d", "e"]
+    got = models.medians(spark.createDataFrame(wide, ", ".join(f"{n} double" for n in names_)), names_)
+    want = [statistics.median([v for v in column if v is not None]) for column in list(zip(*wide))[:4]]
+    assert [got[n] for n in names_] == [*want, None]
+    assert models.medians(spark.createDataFrame([], "a double"), ["a"]) == {"a": None}
+    one_ = spark.createDataFrame([(1.0, 4.0), (2.0, 4.0), (9.0, None)], "a double, b double")
+    z = models.standardise(one_, ["a", "b"]).collect()
+    assert [round(r.a, 4) for r in z] == [-0.6745, 0.0, 4.7214] and [r.b for r in z] == [0.0] * 3
