@@ -558,6 +558,19 @@ def test_top_k(spark):
     assert not [r for r in got if r.query_id >= 400]
 
 
+def test_top_k_never_broadcasts_blocks(spark):
+    """Blocks repeated for each shard look small to the planner, by their files, and are not."""
+    x = np.random.default_rng(5).normal(size=(3000, 6)).round(2).tolist()
+    df = spark.createDataFrame(list(enumerate(x)), "vec_id long, embedding array<float>")
+    old = topk.SHARD
+    topk.SHARD = (40, 90)
+    try:
+        plan = topk.top_k(df, df.where("vec_id % 1000 = 0"))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        topk.SHARD = old
+    assert "MapInArrow" in plan and "BuildLeft" not in plan
+
+
 def test_top_k_edges(spark):
     """Huge components, repeated ids and rows, other lengths."""
     import math
