@@ -11,16 +11,16 @@ full Hamming check.  Equal fingerprints are one node from the start, and a key
 that very many fingerprints hold is collapsed to its smallest before its
 holders meet one another (``links``).
 
-``similar_classes`` asks for more than 3 bits hold: pairs whose sets of
-shingles have a Jaccard similarity of 0.8 or more lie up to about 20 bits apart,
-too far for chains.  There, min-wise keys over the same shingle hashes find the
-candidates, the distance of the fingerprints drops some, and the texts of the
-rest are compared exactly.
+``keep_one_similar`` asks for more than 3 bits hold: pairs whose sets of
+shingles have a Jaccard similarity of 0.8 or more lie up to about 20 bits apart.
+Chains find all that are within 3 bits of one another; min-wise keys over the
+same shingle hashes add candidates up to 24 bits, too far for chains.  The texts
+of all candidates are compared exactly.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -79,37 +79,51 @@ def _segment(fp: Column, i: int) -> Column:
     return F.shiftrightunsigned(fp, WIDTH * (i % SEGMENTS)).bitwiseAND(0xFFFF)
 
 
-def links(fps: DataFrame) -> DataFrame:
+def links(fps: DataFrame, check: Callable[[DataFrame], DataFrame] | None = None, more: DataFrame | None = None) -> DataFrame:
     """Pairs ``(u, v)`` of distinct fingerprints within ``RADIUS`` bits, enough of them to reach all that such pairs reach.
 
     ``fps`` has distinct longs in ``fp``.  Fingerprints that share a key may be
     many (texts that differ by a number).  They first meet the key's smallest
     only; those that are thereby in its class are not compared with one another
     again, the others meet every holder of the key.
+
+    With a column ``node`` of distinct longs, ``u`` and ``v`` are nodes, whose
+    fingerprints may be equal.  ``check`` keeps those pairs that are links;
+    since it is asked before classes are made, none of the links that it would
+    keep is lost.  ``more`` has further pairs to check.
     """
+    named = "node" in fps.columns
+    name, fu, fv = ("node", "fu", "fv") if named else ("fp", "u", "v")
     flips = F.array(F.lit(0), *(F.lit(1 << b) for b in range(WIDTH)))
-    apart = F.col("u").bitwiseXOR(F.col("v"))
+    apart = F.col(fu).bitwiseXOR(F.col(fv))
     # The ring turned so that the chain starts at bit 0.
-    ring = F.expr("shiftrightunsigned(u ^ v, 16 * cast(shiftright(k, 32) as int)) | shiftleft(u ^ v, (64 - 16 * cast(shiftright(k, 32) as int)) % 64)")
+    ring = F.expr(f"shiftrightunsigned({fu} ^ {fv}, 16 * cast(shiftright(k, 32) as int)) | shiftleft({fu} ^ {fv}, (64 - 16 * cast(shiftright(k, 32) as int)) % 64)")
     chain3 = F.bit_count(ring.bitwiseAND(F.lit((1 << (3 * WIDTH)) - 1)))
     near = (F.col("u") != F.col("v")) & (chain3 <= BUDGET[2]) & (F.bit_count(apart) <= BUDGET[3])
 
     def keyed(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Each node under its own keys (u), and under those with one bit of the second link changed (v); with its class, if known."""
-        fp, more = F.col("fp"), [n for n in nodes.columns if n != "fp"]
+        fp, also = F.col("fp"), [n for n in nodes.columns if n != "fp"]
         own = F.array(*(F.struct(F.lit(i).alias("i"), _segment(fp, i).alias("a"), _segment(fp, i + 1).alias("b")) for i in range(SEGMENTS)))
-        rows = nodes.select(fp, *more, F.explode(own).alias("x")).select("fp", *more, "x.*")
+        rows = nodes.select(fp, *also, F.explode(own).alias("x")).select("fp", *also, "x.*")
+        also = [n for n in also if n != "node"]
         packed = F.shiftleft(F.col("i").cast("long"), 32).bitwiseOR(F.shiftleft(F.col("a").cast("long"), 16))
-        left = rows.select(fp.alias("u"), *(F.col(n).alias(f"{n}_u") for n in more), packed.bitwiseOR(F.col("b")).alias("k"))
-        right = rows.withColumn("flip", F.explode(flips)).select(fp.alias("v"), *(F.col(n).alias(f"{n}_v") for n in more), packed.bitwiseOR(F.col("b").bitwiseXOR(F.col("flip"))).alias("k"))
+        us, vs = ([F.col(name).alias(x), *([fp.alias(f)] if named else [])] for x, f in (("u", fu), ("v", fv)))
+        left = rows.select(*us, *(F.col(n).alias(f"{n}_u") for n in also), packed.bitwiseOR(F.col("b")).alias("k"))
+        right = rows.withColumn("flip", F.explode(flips)).select(*vs, *(F.col(n).alias(f"{n}_v") for n in also), packed.bitwiseOR(F.col("b").bitwiseXOR(F.col("flip"))).alias("k"))
         return left, right
 
     # Merge joins: the sizes before the explosion would have either side broadcast.
     left, right = keyed(fps)
-    hubs = left.groupBy("k").agg(F.min("u").alias("u"))
+    hubs = left.groupBy("k").agg(F.min(F.struct("u", "fu")).alias("x")).select("k", "x.*") if named else left.groupBy("k").agg(F.min("u").alias("u"))
     first = stage(right.join(hubs.hint("merge"), "k").where(near).select("u", "v").distinct(), "simhash-hubs")
-    classes = connected(first)
-    known = stage(fps.join(classes, fps.fp == classes.node, "left").select("fp", F.coalesce("root", "fp").alias("class")), "simhash-known")
+    if more is not None:
+        pairs = first.union(more).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+        first = stage(pairs, "simhash-pairs")
+    if check:
+        first = stage(check(first), "simhash-checked")
+    classes = connected(first).withColumnRenamed("node", "_node")
+    known = stage(fps.join(classes, fps[name] == classes["_node"], "left").select(*fps.columns, F.coalesce("root", name).alias("class")), "simhash-known")
     left, right = keyed(known)
     main = left.groupBy("k").agg(F.min(F.struct("u", "class_u")).alias("x")).select("k", F.col("x.class_u").alias("main"))
     left, right = left.join(main.hint("merge"), "k"), right.join(main.hint("merge"), "k")
@@ -117,6 +131,9 @@ def links(fps: DataFrame) -> DataFrame:
     one = left.drop("main").join(strange, "k")
     two = left.where("class_u <> main").drop("main").hint("merge").join(right.where("class_v = main").drop("main"), "k")
     rest = one.unionByName(two).where((F.col("class_u") != F.col("class_v")) & near).select("u", "v")
+    if check:
+        rest = stage(rest.distinct(), "simhash-rest")
+        return first if rest.isEmpty() else first.union(check(rest))
     return first.union(rest)
 
 
@@ -232,15 +249,22 @@ def keep_one_similar(docs: DataFrame, key: str = "doc_id", text: str = "text", w
 
     Texts of the same words are one class, and classes are linked by pairs whose
     sets of ``words``-word shingles have a Jaccard similarity of ``similarity`` or more.
+    Chains of the fingerprints find all such pairs within ``RADIUS`` bits, and
+    ``candidates`` adds what lies further apart; every pair is checked exactly.
     """
     rows = stage(sketches(docs, key, text, words), "similar")
     nodes = rows.groupBy("node").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"))
-    pairs = stage(candidates(nodes, radius), "similar-pairs")
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     # One row of each node stands for its text.
-    wanted = rows.groupBy("node").agg(F.min("row").alias("row")).join(wanted, "node", "left_semi")
-    found = docs.select(F.xxhash64(key, text).alias("row"), F.col(text).alias("text")).join(wanted, "row").select("node", "text")
-    classes = connected(similar(pairs, stage(found.dropDuplicates(["node"]), "similar-texts"), words, similarity))
+    first = rows.groupBy("node").agg(F.min("row").alias("row"))
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        wanted = first.join(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "node", "left_semi")
+        found = docs.select(F.xxhash64(key, text).alias("row"), F.col(text).alias("text")).join(wanted, "row").select("node", "text")
+        return similar(pairs, stage(found.dropDuplicates(["node"]), "similar-texts"), words, similarity)
+
+    # Texts shorter than a shingle have no keys: different ones share nothing.
+    chained = stage(nodes.where(F.size("keys") > 0).select("node", "fp"), "similar-nodes")
+    classes = connected(links(chained, checked, candidates(nodes, radius)))
     rooted = rows.select("doc_id", "row", "node").join(classes.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
     return _least(docs, rooted.select("doc_id", "row", F.coalesce("root", "node").alias("root")), key, text)
 

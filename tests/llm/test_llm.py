@@ -149,6 +149,29 @@ def test_near_dedup_stage_by_similarity(spark):
     assert corpus_pipeline.near_dedup(spark, df.limit(0), "").count() == 0
 
 
+def test_near_dedup_stage_finds_by_chains(spark, monkeypatch):
+    """Without the min-wise candidates the chains of the fingerprints still find all pairs within 3 bits."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(12)
+    texts = ["one two three", "one two four"]
+    for n in (400, 1000):
+        base = [f"w{k}" for k in rng.integers(0, 5000, n)]
+        texts += [" ".join([*base[:at], f"changed{at}", *base[at + 1 :]]) for at in rng.choice(n, 6, replace=False)]
+    fps = [simhash.sketch(t.encode())[1] % 2**64 for t in texts]
+    root = list(range(len(texts)))
+    for b in range(2, len(texts)):
+        for a in range(2, b):
+            x, y = simhash.shingles(texts[a].encode()), simhash.shingles(texts[b].encode())
+            if (fps[a] ^ fps[b]).bit_count() <= simhash.RADIUS and len(x & y) >= 0.8 * len(x | y):
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+    assert len(set(root)) < len(texts) - 4  # chains have something to find
+    monkeypatch.setattr(simhash, "candidates", lambda nodes, radius: spark.createDataFrame([], "u long, v long"))
+    df = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, df, "").collect()) == sorted(set(root))
+
+
 def test_near_dedup_stage_keeps_one_row_of_each_class(spark, docs):
     import corpus_pipeline
 
