@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .pieces import PieceEncoder, cut_points
-from .runtime import heavy, once_if_heavy, parts_for, slices, stage, text_bytes, utf8_size
+from .runtime import heavy, once_if_heavy, parts_for, slices, stage, text_bytes, tidy, utf8_size
 
 #: Chunks hold about 2**MASK_BITS bytes, at least LEAST; longer than MOST only to reach a character's start.
 MASK_BITS, LEAST, MOST = 10, 128, 16384
@@ -118,7 +118,7 @@ def chunk_hashes(docs: DataFrame) -> DataFrame:
                 [batch.column(0).take(pa.array(owner[keep])), pa.array([n for n, k in zip(names, keep.tolist()) if k], pa.binary())], names=["row", "chunk"]
             )
 
-    return docs.select("row", "text").mapInArrow(run, "row long, chunk binary")
+    return docs.select("row", "text").mapInArrow(tidy(run), "row long, chunk binary")
 
 
 def encode_shared(owned: DataFrame, path: str) -> DataFrame:
@@ -141,7 +141,7 @@ def encode_shared(owned: DataFrame, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(raw, pa.binary())], names=["chunk", "ids"])
 
     # All columns are read, so that the exchange below is the one that assembly needs too.
-    return owned.select("text", "wanted", *(n for n in owned.columns if n not in ("text", "wanted"))).mapInArrow(run, "chunk binary, ids binary")
+    return owned.select("text", "wanted", *(n for n in owned.columns if n not in ("text", "wanted"))).mapInArrow(tidy(run), "chunk binary, ids binary")
 
 
 def repair(tool: PieceEncoder, text: bytes, start: int, end: int) -> list[int] | None:
@@ -242,7 +242,7 @@ def assemble(rows: DataFrame, path: str, decode: bool = True) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "decoded"][: len(columns)])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.select("doc_id", "text", "shared").mapInArrow(run, f"doc_id {kind}, ids array<int>" + ", decoded string" * decode)
+    return rows.select("doc_id", "text", "shared").mapInArrow(tidy(run), f"doc_id {kind}, ids array<int>" + ", decoded string" * decode)
 
 
 def _seams(tool: PieceEncoder, seams: list[tuple[bytes, int, int]]) -> list[list[int] | None]:

@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .runtime import free_name, slices, text_bytes
+from .runtime import free_name, slices, text_bytes, tidy
 
 #: Labelled texts of each class that are learnt from (half for the dictionary, half for the curve), and the longest, in bytes.
 SAMPLE, LONGEST = 1500, 1 << 16
@@ -127,19 +127,22 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     """``out``, the score of every text beside ``keep`` (the id if not given), which must not have that name.
 
     Null text counts as empty; equal texts score alike; repeated rows are scored each.
+    A text that is kept goes to the workers once, not a second time to be scored.
     """
     names = [key] if keep is None else keep
     body = free_name(docs, "_text")
+    others = [n for n in names if n != text]
+    back = [0 if n == text else 1 + others.index(n) for n in names]  # places of the kept columns among those sent
     told = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of DICTIONARY bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, body):
             data, starts = text_bytes(batch.column(0))
             found = told.value.scores([data[a:b] for a, b in zip(starts[:-1], starts[1:])])
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(found, pa.float64())], names=[*names, out])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in back), pa.array(found, pa.float64())], names=[*names, out])
 
     schema = ", ".join(f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in names)
-    return docs.select(F.col(text).alias(body), *names).mapInArrow(run, f"{schema}, `{out}` double")
+    return docs.select(F.col(text).alias(body), *others).mapInArrow(tidy(run), f"{schema}, `{out}` double")
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected
-from .runtime import free_name, slices, stage
+from .runtime import free_name, slices, stage, tidy
 
 BITS, SEGMENTS, WIDTH, RADIUS, SEED = 64, 4, 16, 3, 42
 #: Budget of a chain of 1, 2, 3 and 4 segments.
@@ -208,7 +208,7 @@ def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text", words: in
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(nodes, pa.int64()), pa.array(fps, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "row", "node", "fp", "keys"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("doc_id"), F.xxhash64(key, text).alias("row"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, row long, node long, fp long, keys array<long>")
+    return docs.select(F.col(key).alias("doc_id"), F.xxhash64(key, text).alias("row"), F.col(text).alias("text")).mapInArrow(tidy(run), f"doc_id {kind}, row long, node long, fp long, keys array<long>")
 
 
 def candidates(nodes: DataFrame, radius: int = WIDE) -> DataFrame:
@@ -241,7 +241,7 @@ def similar(pairs: DataFrame, texts: DataFrame, words: int = WORDS, similarity:
 
     one = pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("s")).hint("merge"), "u")
     two = one.join(texts.select(F.col("node").alias("v"), F.col("text").alias("t")).hint("merge"), "v")
-    return two.select("u", "v", "s", "t").mapInArrow(run, "u long, v long")
+    return two.select("u", "v", "s", "t").mapInArrow(tidy(run), "u long, v long")
 
 
 def keep_one_similar(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, similarity: float = SIMILARITY, radius: int = WIDE) -> DataFrame:

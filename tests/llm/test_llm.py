@@ -2,6 +2,8 @@
 
 import hashlib
 import re
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -234,6 +236,55 @@ def test_quality_learns_and_handles_edges(spark, docs):
     assert {r.score for r in quality.score(docs, quality.train(df, labels.limit(0))).collect()} == {0.5}
 
 
+def test_a_kept_text_is_sent_to_be_scored_once(docs):
+    model = quality.Model(b"", b"", [0.0] * 10, [1.0] * 10, [0.1] * 11, 0.5)
+    made = quality.score(docs, model, keep=docs.columns, out="_score")
+    assert made._jdf.queryExecution().optimizedPlan().children().head().output().size() == len(docs.columns)
+    assert made.columns == [*docs.columns, "_score"]
+    assert sorted(map(repr, made.select(*docs.columns).collect())) == sorted(map(repr, docs.collect()))
+    alone = [tuple(r) for r in quality.score(docs, model).collect()]
+    assert sorted(map(repr, alone)) == sorted(repr(tuple(r)) for r in made.select("doc_id", "_score").collect())
+    turned = quality.score(docs, model, keep=["source", "text", "doc_id"], out="_score")
+    assert sorted(map(repr, turned.select("doc_id", "text", "source").collect())) == sorted(map(repr, docs.select("doc_id", "text", "source").collect()))
+
+
+def test_workers_give_memory_back_after_each_task(spark, docs, monkeypatch):
+    """Every Python step of the pipeline's stages; what a step keeps would lie beside the next stage's heap."""
+    found, kind, given = [], type(docs), []
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, run, schema, f=kind.mapInArrow: found.append(run) or f(self, run, schema))
+    monkeypatch.setattr(runtime, "give_back", lambda: given.append(1), raising=False)
+    quality.score(docs, quality.Model(b"", b"", [], [], [], 0.5))
+    simhash.sketches(docs)
+    texts = docs.select(F.col("doc_id").alias("node"), "text")
+    simhash.similar(spark.createDataFrame([(1, 2)], "u long, v long"), texts)
+    bpe.chunk_hashes(docs.select(F.col("doc_id").alias("row"), "text"))
+    bpe.encode_shared(docs.select("text", F.array(F.lit(b"x")).alias("wanted")), bpe.word_vocabulary())
+    bpe.assemble(docs.select("doc_id", "text", F.array(F.struct(F.lit(b"x").alias("chunk"), F.lit(b"x").alias("ids"))).alias("shared")), bpe.word_vocabulary())
+    assert len(found) == 6
+    assert [list(run(iter(()))) for run in found] == [[]] * 6
+    assert len(given) == 6
+
+
+def test_freed_memory_goes_back_to_the_system():
+    told = """
+import re, sys
+from lynxmark.llm import runtime
+if not sys.platform.startswith("linux"):
+    sys.exit(print(100, 0))
+def mb():
+    return int(re.search(r"VmRSS:\\s+(\\d+)", open("/proc/self/status").read())[1]) // 1024
+last = []
+def run(batches):
+    held = [bytes([i % 256]) * 2000 for i in range(50_000)]
+    last.extend((held[-1], mb()))  # the last one alive: the heap can't just shrink from its end
+    yield from batches
+list(runtime.tidy(run)(iter(())))
+print(last[1], mb())
+"""
+    most, after = map(int, subprocess.run([sys.executable, "-c", told], capture_output=True, text=True, check=True).stdout.split())
+    assert most - after > 70
+
+
 def test_media_round_trip(docs):
     stored = media.encode_media(docs)
     got = {r.doc_id: r for r in media.describe_media(stored).collect()}
