@@ -25,6 +25,17 @@ def clamp(x: Column, low: float = 0.0, high: float = 100.0) -> Column:
     return F.when(x.isNotNull(), F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), x)))
 
 
+def rounded(x: Column | str, places: int) -> Column:
+    """x to so many places as the SQL rounds it: the scaled double's halves go away from zero.
+
+    ``F.round`` rounds the shortest decimal that stands for x, which is on the
+    other side where a half-way case lies a little off in binary.
+    """
+    x = (F.col(x) if isinstance(x, str) else x).cast("double")
+    scaled = x * float(10**places)
+    return F.when(F.abs(scaled) < float("inf"), F.round(scaled, 0) / float(10**places)).otherwise(x)
+
+
 def weighted_mean(pairs: Iterable[tuple[Column, float]]) -> Column:
     """Mean of the values that are there, by weight; 0 where none is."""
     total, weight = F.lit(0.0), F.lit(0.0)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.columns import band
+from ..functions.columns import band, rounded
 from ..operators import evaluation as ev
 from ..operators import scoring as sc
 from ..operators.ranking import with_midrank, with_position
@@ -15,13 +15,13 @@ _BAND = "CASE WHEN (rank - 1) * 100 < total * 2 THEN 'critical' WHEN (rank - 1)
 
 @query("""SELECT c_custkey, round((rank() OVER (ORDER BY c_acctbal) - 1 + 0.5::DOUBLE * count(*) OVER (PARTITION BY c_acctbal)) / count(*) OVER (), 6) AS midrank FROM customer""")
 def midrank_percentile(t: Tables):
-    return with_midrank(t.customer.select("c_custkey", "c_acctbal"), "c_acctbal").select("c_custkey", F.round("midrank", 6).alias("midrank"))
+    return with_midrank(t.customer.select("c_custkey", "c_acctbal"), "c_acctbal").select("c_custkey", rounded("midrank", 6).alias("midrank"))
 
 
 @query(f"""WITH r AS (SELECT c_custkey, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS rank, count(*) OVER () AS total FROM customer)
 SELECT c_custkey, rank, round((1 - (rank - 1) / total::DOUBLE) * 100, 4) AS percentile, {_BAND} AS band FROM r""")
 def band_by_rank(t: Tables):
-    return sc.ranked(t.customer.select("c_custkey", "c_acctbal"), "c_acctbal", "c_custkey").select("c_custkey", "rank", F.round("percentile", 4).alias("percentile"), "band")
+    return sc.ranked(t.customer.select("c_custkey", "c_acctbal"), "c_acctbal", "c_custkey").select("c_custkey", "rank", rounded("percentile", 4).alias("percentile"), "band")
 
 
 @query(f"""WITH r AS (SELECT row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS rank, count(*) OVER () AS total, c_acctbal FROM customer),
@@ -34,7 +34,7 @@ def band_summary(t: Tables):
     )
     bands = t.spark.createDataFrame([(b,) for b in sc.BANDS], "band string")
     n = F.coalesce("n", F.lit(0))
-    return bands.join(per, "band", "left").select("band", n.alias("n"), F.round(F.coalesce(100.0 * n / F.col("total"), F.lit(0.0)), 4).alias("pct"), F.round("low", 2).alias("low"), F.round("high", 2).alias("high"))
+    return bands.join(per, "band", "left").select("band", n.alias("n"), rounded(F.coalesce(100.0 * n / F.col("total"), F.lit(0.0)), 4).alias("pct"), rounded("low", 2).alias("low"), rounded("high", 2).alias("high"))
 
 
 @query("""SELECT r_name, n_name, count(*) AS n, round(avg(o_totalprice), 4) AS mean, round(sum(o_totalprice), 2) AS total, count(*) FILTER (o_orderpriority IN ('1-URGENT', '2-HIGH')) AS priority,
@@ -44,8 +44,8 @@ def group_rollup(t: Tables):
     joined = t.orders.select("o_custkey", "o_totalprice", "o_orderpriority").join(t.customer.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).join(places, F.col("c_nationkey") == F.col("n_nationkey"))
     price = F.col("o_totalprice")
     return joined.groupBy("r_name", "n_name").agg(
-        F.count("*").alias("n"), F.round(F.avg(price), 4).alias("mean"), F.round(F.sum(price), 2).alias("total"), F.count_if(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")).alias("priority"),
-        F.round(F.percentile(price, 0.9), 4).alias("p90"),
+        F.count("*").alias("n"), rounded(F.avg(price), 4).alias("mean"), rounded(F.sum(price), 2).alias("total"), F.count_if(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")).alias("priority"),
+        rounded(F.percentile(price, 0.9), 4).alias("p90"),
     ).where("n >= 2")
 
 
@@ -60,7 +60,7 @@ def histogram10(t: Tables):
 def box_stats(t: Tables):
     marks = (0.02, 0.25, 0.5, 0.75, 0.98)
     per = t.orders.groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.percentile("o_totalprice", list(marks)).alias("q")).where("n >= 3")
-    return per.select("o_orderpriority", "n", *(F.round(F.col("q")[k], 4).alias(f"q{int(m * 100)}") for k, m in enumerate(marks)))
+    return per.select("o_orderpriority", "n", *(rounded(F.col("q")[k], 4).alias(f"q{int(m * 100)}") for k, m in enumerate(marks)))
 
 
 @query("""SELECT s_suppkey, s_name, round(s_acctbal, 2) AS s_acctbal, (SELECT count(*) FROM supplier WHERE s_acctbal BETWEEN 0 AND 9000 AND contains(s_name, '1')) AS matched
@@ -69,7 +69,7 @@ def list_filter_sort(t: Tables):
     kept = t.supplier.where(F.col("s_acctbal").between(0, 9000) & F.col("s_name").contains("1"))
     total = kept.agg(F.count("*").alias("matched"))
     page = kept.orderBy(F.col("s_acctbal").desc_nulls_first(), "s_suppkey").limit(25)
-    return page.join(F.broadcast(total)).select("s_suppkey", "s_name", F.round("s_acctbal", 2).alias("s_acctbal"), "matched")
+    return page.join(F.broadcast(total)).select("s_suppkey", "s_name", rounded("s_acctbal", 2).alias("s_acctbal"), "matched")
 
 
 @query("""SELECT r_name AS city, n_name AS district, count(*) AS visits, round(max(s_acctbal), 2) AS max_score, round(avg(s_acctbal), 4) AS mean_score, CAST(greatest(0, count(*) - 1) AS BIGINT) AS saved,
@@ -77,7 +77,7 @@ string_agg(s_name, ',' ORDER BY s_acctbal DESC, s_name) AS members FROM supplier
 def route_batches(t: Tables):
     places = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
     made = sc.routes(t.supplier.join(places, F.col("s_nationkey") == F.col("n_nationkey")), "r_name", "n_name", "s_acctbal", "s_name")
-    return made.withColumn("max_score", F.round("max_score", 2)).withColumn("mean_score", F.round("mean_score", 4))
+    return made.withColumn("max_score", rounded("max_score", 2)).withColumn("mean_score", rounded("mean_score", 4))
 
 
 @query(f"""WITH r AS (SELECT s_suppkey, row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey) AS rank, count(*) OVER () AS total FROM supplier), b AS (SELECT *, {_BAND} AS band FROM r WHERE rank <= 80)
@@ -103,27 +103,27 @@ def labelled(t: Tables):
 
 @query(f"WITH {_RANKED} SELECT rank, round((rank - tp) / (total - p)::DOUBLE, 6) AS fpr, round(tp / p::DOUBLE, 6) AS tpr FROM c WHERE rank % greatest(1, total // 60) = 0 OR rank = total")
 def roc_points(t: Tables):
-    return ev.roc_points(labelled(t), "s", "y", "doc_id").select("rank", F.round("fpr", 6).alias("fpr"), F.round("tpr", 6).alias("tpr"))
+    return ev.roc_points(labelled(t), "s", "y", "doc_id").select("rank", rounded("fpr", 6).alias("fpr"), rounded("tpr", 6).alias("tpr"))
 
 
 @query(f"WITH {_RANKED} SELECT rank, round(tp / rank::DOUBLE, 6) AS precision, round(tp / p::DOUBLE, 6) AS recall FROM c WHERE rank % greatest(1, total // 60) = 0 OR rank = total")
 def pr_points(t: Tables):
-    return ev.roc_points(labelled(t), "s", "y", "doc_id").select("rank", F.round("precision", 6).alias("precision"), F.round("tpr", 6).alias("recall"))
+    return ev.roc_points(labelled(t), "s", "y", "doc_id").select("rank", rounded("precision", 6).alias("precision"), rounded("tpr", 6).alias("recall"))
 
 
 @query(f"WITH {_LAB}, r AS (SELECT y, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0::DOUBLE AS r FROM l), z AS (SELECT sum(r) FILTER (y = 1) AS r, count(*) FILTER (y = 1) AS p, count(*) FILTER (y = 0) AS n FROM r) SELECT round((r - p * (p + 1) / 2.0::DOUBLE) / (p * n), 6) AS auc, p AS positives, n AS negatives FROM z")
 def auc_midrank(t: Tables):
-    return ev.auc(labelled(t), "s", "y").select(F.round("auc", 6).alias("auc"), F.col("positives").cast("long").alias("positives"), F.col("negatives").cast("long").alias("negatives"))
+    return ev.auc(labelled(t), "s", "y").select(rounded("auc", 6).alias("auc"), F.col("positives").cast("long").alias("positives"), F.col("negatives").cast("long").alias("negatives"))
 
 
 @query(f"WITH {_RANKED}, b AS (SELECT CAST((rank - 1) // (total // 10) + 1 AS INT) AS bucket, y FROM c) SELECT bucket, count(*) AS n, CAST(sum(y) AS BIGINT) AS hits, round(avg(y) / (SELECT avg(y) FROM l), 6) AS lift FROM b WHERE bucket <= 10 GROUP BY bucket")
 def lift_deciles(t: Tables):
-    return ev.lift(labelled(t), "s", "y", "doc_id").withColumn("lift", F.round("lift", 6))
+    return ev.lift(labelled(t), "s", "y", "doc_id").withColumn("lift", rounded("lift", 6))
 
 
 @query(f"WITH {_RANKED} SELECT CAST(k AS INT) AS k, CAST(sum(y) AS BIGINT) AS hits, round(avg(y), 6) AS precision, round(sum(y) / max(p)::DOUBLE, 6) AS recall FROM c JOIN (VALUES (20), (50), (100)) v(k) ON rank <= k GROUP BY k")
 def precision_recall_at_k(t: Tables):
-    return ev.at_k(labelled(t), "s", "y", "doc_id").select("k", "hits", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
+    return ev.at_k(labelled(t), "s", "y", "doc_id").select("k", "hits", rounded("precision", 6).alias("precision"), rounded("recall", 6).alias("recall"))
 
 
 @query(f"WITH {_RANKED}, x AS (SELECT rank <= total // 5 AS f, y FROM c) SELECT count(*) FILTER (f AND y = 1) AS tp, count(*) FILTER (f AND y = 0) AS fp, count(*) FILTER (NOT f AND y = 1) AS fn, count(*) FILTER (NOT f AND y = 0) AS tn FROM x")
@@ -143,8 +143,8 @@ def blend_sweep(t: Tables):
         F.least(F.lit(100.0), F.col("n_chars") / 200.0).alias("a"), (100 - F.least(F.lit(100), F.col("doc_id") % 101)).alias("b"), F.col("quality").alias("y")
     )
     k = F.col("step") / 10.0
-    each = base.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(10)))).withColumn("s", F.round(F.col("a") * (1 - k) + F.col("b") * k, 9))
-    return ev.auc(each, "s", "y", ["step"]).withColumn("auc", F.round("auc", 6))
+    each = base.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(10)))).withColumn("s", rounded(F.col("a") * (1 - k) + F.col("b") * k, 9))
+    return ev.auc(each, "s", "y", ["step"]).withColumn("auc", rounded("auc", 6))
 
 
 _DIMS = """d AS (SELECT c_custkey, CASE WHEN n > 0 THEN least(100, n * 6.0::DOUBLE) END AS compliance, least(100, greatest(0, c_acctbal / 100.0::DOUBLE)) AS financial,
@@ -168,14 +168,14 @@ def customer_rules(t: Tables):
 
 @query(f"WITH {_DIMS} SELECT c_custkey, round(rule, 6) AS rule FROM u")
 def rule_score_available(t: Tables):
-    return customer_rules(t).withColumn("rule", F.round("rule", 6))
+    return customer_rules(t).withColumn("rule", rounded("rule", 6))
 
 
 @query(f"""WITH {_DIMS}, f AS (SELECT c_custkey, round(CASE WHEN c_custkey % 10 = 0 THEN rule ELSE rule * 0.75::DOUBLE + (c_custkey % 89) * 0.25::DOUBLE END, 6) AS final FROM u),
 r AS (SELECT *, row_number() OVER (ORDER BY final DESC, c_custkey) AS rank, count(*) OVER () AS total FROM f) SELECT c_custkey, final, rank, {_BAND} AS band FROM r""")
 def final_blend_rank(t: Tables):
     model = F.when(F.col("c_custkey") % 10 != 0, (F.col("c_custkey") % 89).cast("double"))
-    final = customer_rules(t).select("c_custkey", F.round(sc.final_score(F.col("rule"), model), 6).alias("final"))
+    final = customer_rules(t).select("c_custkey", rounded(sc.final_score(F.col("rule"), model), 6).alias("final"))
     out = with_position(final, "final", ["c_custkey"])
     return out.select("c_custkey", "final", "rank", band(F.col("rank"), F.col("total")).alias("band"))
 

@@ -137,3 +137,25 @@ def test_settings(spark, tmp_path):
     assert sinks.load_settings(spark, path, defaults) == {"weights": {"a": 5.0, "b": 2.0}, "capacity": 40}
     sinks.save_settings(spark, path, {"capacity": 7})
     assert sinks.load_settings(spark, path, defaults)["capacity"] == 7
+
+
+def against_sql(spark, folder, name, customers):
+    """Rows of a query and of its SQL over these customers (key, nation, balance, segment, orders) and their orders of 1,000."""
+    import duckdb
+
+    from lynxmark.plans.catalogue import ORACLES, QUERIES
+
+    orders = [(at, k, 1000.0) for at, k in enumerate(k for k, _, _, _, n in customers for _ in range(n))]
+    spark.createDataFrame([x[:4] for x in customers], "c_custkey long, c_nationkey int, c_acctbal double, c_mktsegment string").write.parquet(f"{folder}/customer.parquet")
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_totalprice double").write.parquet(f"{folder}/orders.parquet")
+    con = duckdb.connect()
+    for t in ("customer", "orders"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet/*.parquet'")
+    want = con.execute(ORACLES[name])
+    names = [x[0] for x in want.description]
+    return sorted(map(tuple, QUERIES[name](spark, str(folder)).select(*names).collect())), sorted(want.fetchall())
+
+
+def test_final_blend_rank_half_way(spark, tmp_path):
+    got, want = against_sql(spark, tmp_path, "final_blend_rank", [(1599, 17, 9671.26, "FURNITURE", 6), (5602, 0, 3527.58, "AUTOMOBILE", 16), (10398, 5, 7463.98, "FURNITURE", 15)])
+    assert got == want
