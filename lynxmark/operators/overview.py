@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import rounded
 from .ranking import with_midrank, whole_quantiles
 from .scoring import WEIGHTS, dimension_score, final_score, ranked, reasons, rule_score
 
@@ -78,7 +79,7 @@ def actions(df: DataFrame, band: Column, dims: dict[str, Column]) -> DataFrame:
 def contributions(dims: dict[str, Column], available: dict[str, Column], weights: dict[str, float] = WEIGHTS) -> dict[str, Column]:
     """Points that each dimension adds to the rule score: its score by its part of the available weights; 0 where it is not available."""
     whole = sum((F.when(available.get(d, F.lit(True)), w).otherwise(0.0) for d, w in weights.items()), F.lit(0.0))
-    return {d: F.when(available.get(d, F.lit(True)) & (whole > 0), F.round(dims[d] * w / whole, 2)).otherwise(0.0) for d, w in weights.items()}
+    return {d: F.when(available.get(d, F.lit(True)) & (whole > 0), rounded(dims[d] * w / whole, 2)).otherwise(0.0) for d, w in weights.items()}
 
 
 def rescore(features: DataFrame, key: str, probability: str, weights: dict[str, float] = WEIGHTS, blend: float = 0.25, available: dict[str, Column] | None = None) -> DataFrame:
@@ -103,11 +104,11 @@ def summary(rows: DataFrame, score: str = "score", band: str = "band", penalised
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     n = F.count("*")
     out = rows.agg(
-        n.alias("n_institutions"), F.count_if(priority).alias("n_high_risk"), zero(F.round(F.try_divide(F.count_if(priority) * 100, n), 1)).alias("high_risk_pct"), F.count_if(F.col(band) == "critical").alias("n_critical"),
-        zero(F.round(F.avg(score), 2)).alias("avg_score"), F.count_if(~clean).alias("n_penalized_4y"), F.count_if(F.col(burst)).alias("n_burst"), F.count_if(priority & clean).alias("n_priority_no_penalty"),
-        zero(F.round(F.min(F.when(priority, F.col(score))), 2)).alias("priority_cut_score"),
+        n.alias("n_institutions"), F.count_if(priority).alias("n_high_risk"), zero(rounded(F.try_divide(F.count_if(priority) * 100, n), 1)).alias("high_risk_pct"), F.count_if(F.col(band) == "critical").alias("n_critical"),
+        zero(rounded(F.avg(score), 2)).alias("avg_score"), F.count_if(~clean).alias("n_penalized_4y"), F.count_if(F.col(burst)).alias("n_burst"), F.count_if(priority & clean).alias("n_priority_no_penalty"),
+        zero(rounded(F.min(F.when(priority, F.col(score))), 2)).alias("priority_cut_score"),
     )
-    middle = whole_quantiles(rows, score, (0.5,)).select(zero(F.round("q0", 2)).alias("median_score"))
+    middle = whole_quantiles(rows, score, (0.5,)).select(zero(rounded("q0", 2)).alias("median_score"))
     return out.join(F.broadcast(middle), F.lit(True), "left").withColumn("median_score", zero(F.col("median_score")))
 
 
@@ -115,8 +116,8 @@ def dimension_overview(rows: DataFrame, dims: tuple[str, ...]) -> DataFrame:
     """Mean, median and 90th percentile of each dimension over the whole table."""
     out = None
     for d in dims:
-        q = whole_quantiles(rows, d, (0.5, 0.9)).select(F.lit(d).alias("dimension"), F.round("q0", 4).alias("median"), F.round("q1", 4).alias("p90"))
-        one = rows.agg(F.round(F.avg(d), 4).alias("mean")).join(F.broadcast(q)).select("dimension", "mean", "median", "p90")
+        q = whole_quantiles(rows, d, (0.5, 0.9)).select(F.lit(d).alias("dimension"), rounded("q0", 4).alias("median"), rounded("q1", 4).alias("p90"))
+        one = rows.agg(rounded(F.avg(d), 4).alias("mean")).join(F.broadcast(q)).select("dimension", "mean", "median", "p90")
         out = one if out is None else out.union(one)
     return out
 
@@ -124,4 +125,4 @@ def dimension_overview(rows: DataFrame, dims: tuple[str, ...]) -> DataFrame:
 def importance(coefficients: DataFrame, name: str = "feature", coef: str = "coef") -> DataFrame:
     """Coefficients by size with their odds ratios, exponents kept within 20."""
     c = F.col(coef)
-    return coefficients.select(name, F.round(c, 4).alias("coef"), F.abs(c).alias("abs"), F.round(F.exp(F.greatest(F.lit(-20.0), F.least(F.lit(20.0), c))), 3).alias("odds_ratio")).orderBy(F.desc("abs"), name)
+    return coefficients.select(name, rounded(c, 4).alias("coef"), F.abs(c).alias("abs"), rounded(F.exp(F.greatest(F.lit(-20.0), F.least(F.lit(20.0), c))), 3).alias("odds_ratio")).orderBy(F.desc("abs"), name)

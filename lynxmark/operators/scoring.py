@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import band, clamp, weighted_mean
+from ..functions.columns import band, clamp, rounded, weighted_mean
 from .ranking import with_position
 
 #: Weights of the dimensions and the model's share in the final score.
@@ -74,7 +74,7 @@ def dimension_score(name: str, features: dict[str, Column]) -> Column:
     score = weighted_mean((scaled(f, factor, offset), w) for f, w, factor, offset in DIMENSIONS[name])
     if name == "financial":
         score = F.when(F.coalesce(features.get("fin_available", F.lit(None)).cast("double"), F.lit(0.0)) == 1, score).otherwise(weighted_mean([(scaled("anomaly_score", 1.0, 0.0), 1.0)]))
-    return F.round(score, 2)
+    return rounded(score, 2)
 
 
 def rule_score(dims: dict[str, Column], available: dict[str, Column] | None = None, weights: dict[str, float] = WEIGHTS) -> Column:

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from ..functions import names
+from ..functions.columns import rounded
 from ..operators import finance, overview, registers
 from ..operators.forensics import digit_counts
 from ..operators.scoring import DIMENSIONS, dimension_score, ranked
@@ -43,7 +44,7 @@ ratios AS (SELECT *, {", ".join(f"{a} / nullif({b}, 0)::DOUBLE AS {name}" for na
 @query(f"WITH {_FILLED} SELECT inst_id, fiscal_year, round(total_revenue + 1e-6, 2) AS total_revenue, round(total_expense + 1e-6, 2) AS total_expense, round(surplus + 1e-6, 2) AS surplus, {', '.join(f'round({r} + 1e-9, 6) AS {r}' for r in finance.RATIOS)} FROM ratios")
 def financial_ratios(t: Tables):
     made = finance.financial_ratios(statements(t))
-    return made.select("inst_id", "fiscal_year", *(F.round(F.col(c) + 1e-6, 2).alias(c) for c in ("total_revenue", "total_expense", "surplus")), *(F.round(F.col(r) + 1e-9, 6).alias(r) for r in finance.RATIOS))
+    return made.select("inst_id", "fiscal_year", *(rounded(F.col(c) + 1e-6, 2).alias(c) for c in ("total_revenue", "total_expense", "surplus")), *(rounded(F.col(r) + 1e-9, 6).alias(r) for r in finance.RATIOS))
 
 
 _INST = """inst AS (SELECT 'C' || c_custkey AS inst_id, c_name AS name, r_name AS city, n_name AS district, c_mktsegment AS org_type, CAST(c_custkey % 240 AS INT) AS approved_capacity, c_acctbal
@@ -76,7 +77,7 @@ def peer_ratio_deviations(t: Tables):
     latest = made.groupBy("inst_id").agg(*(F.max_by(r, "fiscal_year").alias(r) for r in _WATCH))
     rows = institutions(t).withColumn("peer", finance.peer_key(F.col("org_type"), F.col("approved_capacity"))).join(latest, "inst_id", "left")
     out = finance.peer_deviations(rows, "inst_id", "peer", _WATCH)
-    return out.select("inst_id", *(F.round(c, 4).alias(c) for c in out.columns[1:]))
+    return out.select("inst_id", *(rounded(c, 4).alias(c) for c in out.columns[1:]))
 
 
 _CHI99 = "greatest(0, least(1, 1 - (SELECT sum(exp((49.5::DOUBLE + n) * ln(chi2 / 2) - chi2 / 2 - lgamma(49.5::DOUBLE + n + 1))) FROM range(600) r(n))))"
@@ -89,7 +90,7 @@ s AS (SELECT *, 0.6::DOUBLE * least(1, greatest(0, -log10(greatest(p_value, 1e-1
 SELECT l_suppkey, n, round(chi2, 4) AS chi2, round(p_value, 6) AS p_value, round(max_share, 6) AS max_share, round(score, 3) AS score, CASE WHEN score < 20 THEN '均勻（正常）' WHEN score < 50 THEN '輕微群聚' WHEN score < 75 THEN '明顯群聚' ELSE '高度群聚' END AS level, top_endings FROM s""")
 def last_two_levels(t: Tables):
     made = finance.last_two_score(t.lineitem, "l_suppkey", "l_extendedprice")
-    return made.select("l_suppkey", "n", F.round("chi2", 4).alias("chi2"), F.round("p_value", 6).alias("p_value"), F.round("max_share", 6).alias("max_share"), F.round("score", 3).alias("score"), "level", "top_endings")
+    return made.select("l_suppkey", "n", rounded("chi2", 4).alias("chi2"), rounded("p_value", 6).alias("p_value"), rounded("max_share", 6).alias("max_share"), rounded("score", 3).alias("score"), "level", "top_endings")
 
 
 _D9 = range(1, 10)
@@ -109,7 +110,7 @@ SELECT l_suppkey, n, round(mad, 6) AS mad, round(p_value, 6) AS p_value, round(0
 def digit_conformity(t: Tables):
     counts = digit_counts(t.lineitem, "l_suppkey", "l_extendedprice").join(t.supplier.select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("grp")), "l_suppkey")
     made = finance.conformity(counts, "l_suppkey", "grp")
-    return made.select("l_suppkey", "n", F.round("mad", 6).alias("mad"), F.round("p_value", 6).alias("p_value"), F.round("raw_score", 3).alias("raw_score"), "raw_level", F.round("adjusted", 5).alias("adjusted"), "level", F.round("score", 3).alias("score"))
+    return made.select("l_suppkey", "n", rounded("mad", 6).alias("mad"), rounded("p_value", 6).alias("p_value"), rounded("raw_score", 3).alias("raw_score"), "raw_level", rounded("adjusted", 5).alias("adjusted"), "level", rounded("score", 3).alias("score"))
 
 
 _GROUPS = {"income": ("1-URGENT", "2-HIGH"), "cost": ("3-MEDIUM",), "other": ("5-LOW", "none such"), "absent": ("no account",)}
@@ -119,7 +120,7 @@ _GROUPS = {"income": ("1-URGENT", "2-HIGH"), "cost": ("3-MEDIUM",), "other": ("5
 def account_rollup(t: Tables):
     ledger = t.orders.select(F.concat(F.lit("C"), "o_custkey").alias("inst_id"), F.year("o_orderdate").alias("fiscal_year"), "o_orderpriority", "o_totalprice")
     made = finance.account_rollup(ledger, ["inst_id", "fiscal_year"], "o_orderpriority", "o_totalprice", _GROUPS)
-    return made.select("inst_id", "fiscal_year", *(F.round(k, 2).alias(k) for k in _GROUPS))
+    return made.select("inst_id", "fiscal_year", *(rounded(k, 2).alias(k) for k in _GROUPS))
 
 
 _ROWS = [
@@ -213,7 +214,7 @@ def rescored(t: Tables):
 
 @query(f"{_RESCORED} SELECT c_custkey, rule_score, model_score, score, rank, band, round((1 - (rank - 1) / total::DOUBLE) * 100, 6) AS percentile FROM bd")
 def rescored_population(t: Tables):
-    return rescored(t).select("c_custkey", "rule_score", "model_score", "score", "rank", "band", F.round("percentile", 6).alias("percentile"))
+    return rescored(t).select("c_custkey", "rule_score", "model_score", "score", "rank", "band", rounded("percentile", 6).alias("percentile"))
 
 
 @query(f"""{_RESCORED} SELECT count(*) AS n_institutions, count(*) FILTER (band IN ('critical', 'high')) AS n_high_risk, round(count(*) FILTER (band IN ('critical', 'high')) * 100 / count(*)::DOUBLE, 1) AS high_risk_pct, count(*) FILTER (band = 'critical') AS n_critical,
@@ -241,7 +242,7 @@ def suggested_actions(t: Tables):
 @query(f"""WITH {_INST}, k AS (SELECT * FROM inst WHERE city = 'ASIA' AND c_acctbal BETWEEN 0 AND 8000 AND (contains(lower(name), '00') OR contains(lower(district), '00'))) SELECT inst_id, name, district, round(c_acctbal, 2) AS score, (SELECT count(*) FROM k) AS total FROM k ORDER BY c_acctbal DESC, inst_id LIMIT 40""")
 def institution_list(t: Tables):
     page = registers.institution_list(institutions(t), {"city": "ASIA", "org_type": None}, ("c_acctbal", 0, 8000), " 00 ", ("name", "district"), fold=True, sort="c_acctbal", limit=40)
-    return page.select("inst_id", "name", "district", F.round("c_acctbal", 2).alias("score"), "total")
+    return page.select("inst_id", "name", "district", rounded("c_acctbal", 2).alias("score"), "total")
 
 
 @query(f"WITH {_INST} SELECT inst_id, city, name, (SELECT count(*) FROM inst WHERE org_type = 'BUILDING') AS total FROM inst WHERE org_type = 'BUILDING' ORDER BY coalesce(city, ''), inst_id LIMIT 30")
@@ -304,7 +305,7 @@ def recent_facts(t: Tables):
 @query("SELECT o_custkey, o_orderkey, round(o_totalprice, 2) AS price FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY abs(o_totalprice - 100000), o_orderkey) = 1")
 def nearest_amount(t: Tables):
     made = registers.nearest(t.orders.select("o_custkey", "o_orderkey", "o_totalprice"), ["o_custkey"], F.col("o_totalprice"), F.lit(100000), "o_orderkey")
-    return made.select("o_custkey", "o_orderkey", F.round("o_totalprice", 2).alias("price"))
+    return made.select("o_custkey", "o_orderkey", rounded("o_totalprice", 2).alias("price"))
 
 
 @query("SELECT event_type AS category, count(*) AS n, CAST(row_number() OVER (ORDER BY count(*) DESC, event_type) AS INT) AS place FROM events GROUP BY event_type")
@@ -356,7 +357,7 @@ def value_distribution(t: Tables):
 @query(" UNION ALL ".join(f"SELECT * FROM (SELECT '{c}' AS board, s_suppkey, round({x}, 4) AS score, CAST(row_number() OVER (ORDER BY {x} DESC, s_suppkey) AS INT) AS place FROM supplier QUALIFY place <= {n})" for c, x, n in (("balance", "s_acctbal", 20), ("nation", "CAST(s_nationkey AS DOUBLE)", 15))))
 def leaderboards(t: Tables):
     rows = t.supplier.select("s_suppkey", F.col("s_acctbal").alias("balance"), F.col("s_nationkey").cast("double").alias("nation"))
-    return registers.boards(rows, "s_suppkey", {"balance": 20, "nation": 15}).select("board", "s_suppkey", F.round("score", 4).alias("score"), "place")
+    return registers.boards(rows, "s_suppkey", {"balance": 20, "nation": 15}).select("board", "s_suppkey", rounded("score", 4).alias("score"), "place")
 
 
 @query("SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey % 3 <> 0 UNION ALL SELECT s_suppkey, 'late' FROM supplier WHERE s_suppkey % 3 = 0 AND s_suppkey % 2 = 0")

@@ -159,3 +159,9 @@ def against_sql(spark, folder, name, customers):
 def test_final_blend_rank_half_way(spark, tmp_path):
     got, want = against_sql(spark, tmp_path, "final_blend_rank", [(1599, 17, 9671.26, "FURNITURE", 6), (5602, 0, 3527.58, "AUTOMOBILE", 16), (10398, 5, 7463.98, "FURNITURE", 15)])
     assert got == want
+
+
+@pytest.mark.parametrize("name", ["dimension_scores", "rescored_population"])
+def test_dimensions_half_way(spark, tmp_path, name):
+    got, want = against_sql(spark, tmp_path, name, [(8006935, 19, -985.5, "FURNITURE", 8), (26008615, 19, 2344.5, "AUTOMOBILE", 7), (49005273, 6, 4720.5, "AUTOMOBILE", 7)])
+    assert got == want
