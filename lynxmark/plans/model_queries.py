@@ -43,10 +43,14 @@ def combined_anomaly(t: Tables):
 def features(t: Tables):
     text = F.col("text")
     words = F.size(F.split(text, " "))
-    rows = t.documents.join(t.labels, "doc_id").select(
-        "doc_id", F.col("quality").cast("int").alias("y"), F.log1p(F.length(text)).alias("length"), (F.length(text) / words).alias("word"),
-        (F.length(F.regexp_replace(text, r"[^A-Z]", "")) / F.length(text)).alias("upper"), (F.length(F.regexp_replace(text, r"[A-Za-z\s]", "")) / F.length(text)).alias("marks"),
+    # Texts are measured where they are read; only numbers meet the labels.
+    measured = t.documents.select(
+        "doc_id", F.log1p(F.length(text)).alias("length"), (F.length(text) / words).alias("word"),
+        (F.length(F.regexp_replace(text, r"[^A-Z]+", "")) / F.length(text)).alias("upper"), (F.length(F.regexp_replace(text, r"[A-Za-z\s]+", "")) / F.length(text)).alias("marks"),
     )
+    labels = t.labels.select("doc_id", F.col("quality").cast("int").alias("y"))
+    # Each pass for a median would read and measure all texts again.
+    rows = stage(measured.join(labels, "doc_id"), "logistic-features")
     return models.standardise(rows, ["length", "word", "upper", "marks"], 6.0)
 
 

@@ -107,3 +107,21 @@ def test_halves_round_as_in_sql(spark):
 
     for x, places in ((45.675, 2), (-45.675, 2), (1.005, 2), (66.5649905, 6), (0.5, 0), (1e307, 6), (None, 2)):
         assert one(spark, c.rounded(F.lit(x).cast("double"), places)) == duckdb.execute("SELECT round(?::DOUBLE, ?::INT)", [x, places]).fetchall()[0][0], x
+
+
+def test_model_features_measure_texts_once(spark):
+    """Medians and models go over staged numbers; no later pass reads the texts."""
+    import os
+
+    import pytest
+
+    from lynxmark.plans import model_queries
+    from lynxmark.plans.registry import Tables
+
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables here")
+    t = Tables(spark, folder)
+    made = model_queries.features(t)
+    assert not [f for f in made.inputFiles() if "documents.parquet" in f]
+    assert made.count() == t.documents.join(t.labels, "doc_id").count()
