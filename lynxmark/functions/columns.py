@@ -31,9 +31,8 @@ def rounded(x: Column | str, places: int) -> Column:
     ``F.round`` rounds the shortest decimal that stands for x, which is on the
     other side where a half-way case lies a little off in binary.
     """
-    x = (F.col(x) if isinstance(x, str) else x).cast("double")
-    scaled = x * float(10**places)
-    return F.when(F.abs(scaled) < float("inf"), F.round(scaled, 0) / float(10**places)).otherwise(x)
+    x = (F.col(x) if isinstance(x, str) else x).cast("double")  # named once: long scores would multiply the code
+    return F.round(x * float(10**places), 0) / float(10**places)
 
 
 def weighted_mean(pairs: Iterable[tuple[Column, float]]) -> Column:
